@@ -7,13 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depframe.llm import quality_rules, url_filters
-from depframe.session import table
+from depframe.llm import media_columns, packing, quality_rules, secret_scan, token_counts, url_filters
+from depframe.session import scratch_path, table
 
 #: Fixed values. (verdict, host, path) of the URL rules.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is new for each call, so that what a call costs does not hang on earlier ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"), scratch_path(spark, "token-cache"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = media_columns.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    payload, stored = F.col("payload"), F.col("media")
+    return media.select(
+        F.col("key").alias("doc_id"), "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.octet_length(stored).cast("long").alias("media_bytes"), F.sha2(stored, 256).alias("media_sha256"), "feature",
+    )
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.quality_rules(docs).select("doc_id", "quality.*")
@@ -27,6 +61,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_media_columns": op2_media_columns,
+    "op4_secret_scan": op4_secret_scan,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_filters": op9_url_filters,
 }
