@@ -54,9 +54,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list holds the canonical URLs of the pages that link farms serve."""
+    """The list holds the canonical URLs of the pages that link farms and mobile mirrors serve."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(url_filters.url_host(F.col("url")).startswith("spam-farm.")).select(url_filters.canonical_url(F.col("url")).alias("canonical"))
+    listed = pages.where(url_filters.url_host(F.col("url")).rlike(r"^(spam-farm|m)\.")).select(url_filters.canonical_url(F.col("url")).alias("canonical"))
     return url_filters.url_filter(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -76,6 +76,6 @@ ORACLES: dict[str, str] = {
         r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(kind, rule_host, rule_path)),
         m AS (SELECT page_id, max_by(struct_pack(kind := kind, rule := rule_host || rule_path), length(rule_host) * 1000 + length(rule_path)) AS best
               FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
-        SELECT page_id, host, path, best.rule AS rule, coalesce(best.kind, CASE WHEN starts_with(host, 'spam-farm.') THEN 'block' ELSE 'allow' END) AS verdict
+        SELECT page_id, host, path, best.rule AS rule, coalesce(best.kind, CASE WHEN starts_with(host, 'spam-farm.') OR starts_with(host, 'm.') THEN 'block' ELSE 'allow' END) AS verdict
         FROM h LEFT JOIN m USING (page_id)""",
 }
