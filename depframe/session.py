@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +46,21 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Python workers that would not find it by their path: once for each application."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    reachable = {Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)} | {Path.cwd()}
+    if app in _shipped or root in reachable:
+        return
+    target = Path(tempfile.mkdtemp(prefix="depframe-package-")) / "depframe_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in (root / "depframe").rglob("*.py"):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
