@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depframe.llm import media_columns, packing, quality_rules, secret_scan, token_counts, url_filters
+from depframe.llm import jaccard_join, media_columns, packing, quality_rules, secret_scan, token_counts, url_filters
 from depframe.session import scratch_path, table
 
 #: Fixed values. (verdict, host, path) of the URL rules.
@@ -53,6 +53,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "quality.*")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, num=85, den=100)
+    return classes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list holds the canonical URLs of the pages that link farms and mobile mirrors serve."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filters": op9_url_filters,
 }
 
