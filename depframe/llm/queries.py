@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depframe.llm import jaccard_join, media_columns, packing, quality_rules, secret_scan, token_counts, url_filters
+from depframe.llm import jaccard_join, media_columns, packing, quality_rules, secret_scan, suffix_dedup, token_counts, url_filters
 from depframe.session import scratch_path, table
 
 #: Fixed values. (verdict, host, path) of the URL rules.
@@ -38,6 +38,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +73,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
