@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depframe.llm import jaccard_join, media_columns, packing, quality_rules, secret_scan, suffix_dedup, token_counts, url_filters
+from depframe.llm import jaccard_join, media_columns, packing, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_counts, url_filters
 from depframe.session import scratch_path, table
 
 #: Fixed values. (verdict, host, path) of the URL rules.
@@ -47,6 +47,23 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of what they decode to; ids_sha256 is of their decimal numbers joined by blanks."""
+    model = sentence_pieces.PieceModel.load(vocabulary("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = sentence_pieces.encode_column(docs, model)
+    decoded = sentence_pieces.decode_column(encoded, model)
+    first, last = min(i for i in model.byte_ids if i >= 0), max(model.byte_ids)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.size(F.filter("ids", lambda i: (i >= first) & (i <= last))).cast("long").alias("n_byte_ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(docs, vocabulary("word_bpe_49k.json"))
@@ -75,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_sentence_pieces": op5_sentence_pieces,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
