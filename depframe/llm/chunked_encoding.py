@@ -9,10 +9,14 @@ may be cut elsewhere.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import numpy as np
 
 #: A dictionary of more chunks than this is begun anew. It bounds a worker's memory and changes no result.
 MAX_CHUNKS = 500_000
@@ -79,6 +83,68 @@ def id_bytes(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+class WordEncoder(ChunkEncoder):
+    """For vocabularies that drop white space and case: a text's ids are those of its words, packed as bytes.
+
+    New words are encoded many at a time, with a separator between them whose id no word without that character has. A word's
+    closing punctuation is looked up by itself where a letter or digit comes before it, and letters in lower case.
+    """
+
+    SEPARATOR, TAIL, TOGETHER = "\0", ".,;:!?", 2_000
+
+    def __init__(self, path: str):
+        super().__init__(path, id_bytes)
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[bytes]]:
+        for part in _slices(texts):
+            cut = [(t or "").replace("\n", " ").split(" ") for t in part]
+            if len(self.known) > MAX_CHUNKS:
+                self.known = {}
+            new = set()
+            for words in cut:
+                new.update(words)
+            self._learn(new - self.known.keys())
+            get = self.known.__getitem__
+            for words in cut:
+                yield list(map(get, words))
+
+    def _learn(self, new: set[str]) -> None:
+        made = []
+        for w in new:
+            core = w.rstrip(self.TAIL)
+            tail = w[len(core) :]
+            if tail and not core[-1:].isalnum():
+                core, tail = w, ""
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                core = core.lower()
+            made.append((w, core, tail))
+        base = list({x for _, core, tail in made for x in (core, tail)} - self.known.keys())
+        plain = [x for x in base if self.SEPARATOR not in x]
+        vocabulary = tokenizer(self.path)
+        between = vocabulary.encode(self.SEPARATOR, add_special_tokens=False).ids
+        for lo in range(0, len(plain), self.TOGETHER):
+            some = plain[lo : lo + self.TOGETHER]
+            ids = np.array(vocabulary.encode_batch_fast([f" {self.SEPARATOR} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == between[0])).tolist()
+            if len(between) != 1 or len(ends) != len(some) - 1:
+                raise ValueError("the vocabulary does not keep the separator apart")
+            packed = ids.tobytes()
+            self.known.update((w, packed[a:b]) for w, a, b in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(packed)], strict=True))
+        for x in base:
+            if self.SEPARATOR in x:
+                self.known[x] = id_bytes(vocabulary.encode(x, add_special_tokens=False).ids)
+        self.known.update((w, self.known[core] + self.known[tail]) for w, core, tail in made)
+
+
+def drops_space_and_case(path: str) -> bool:
+    """Whether the file normalises white space and case and keeps only what its pattern of words matches."""
+    told = json.loads(Path(path).read_bytes())
+    normalizers = (told.get("normalizer") or {}).get("normalizers", [])
+    pre = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    lower = any(n.get("type") == "Lowercase" for n in normalizers)
+    return lower and pre.get("type") == "Split" and pre.get("behavior") == "Removed" and bool(pre.get("invert"))
+
+
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
@@ -86,5 +152,6 @@ def encoder(path: str, kind: str) -> ChunkEncoder:
     """A worker's encoder for ``path``: kind ``count`` gives numbers of ids, ``bytes`` packed ids. It outlives tasks."""
     key = (path, kind)
     if key not in _encoders:
-        _encoders[key] = ChunkEncoder(path, len if kind == "count" else id_bytes)
+        words = kind == "bytes" and drops_space_and_case(path)
+        _encoders[key] = WordEncoder(path) if words else ChunkEncoder(path, len if kind == "count" else id_bytes)
     return _encoders[key]

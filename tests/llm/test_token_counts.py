@@ -1,7 +1,7 @@
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from depframe.llm.chunked_encoding import ChunkEncoder
+from depframe.llm.chunked_encoding import ChunkEncoder, WordEncoder, drops_space_and_case
 from depframe.llm.token_counts import stored_counts, token_counts, tokenizer_digest
 from depframe.session import scratch_path
 
@@ -21,6 +21,16 @@ def test_chunks_give_the_ids_of_whole_texts():
             assert [i for c in chunks for i in c] == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_words_give_the_ids_of_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert drops_space_and_case(path) and not drops_space_and_case(PATH)
+    whole, encoder = Tokenizer.from_file(path), WordEncoder(path)
+    more = ["Word, word. WORD! (x), it's, ΣΑΣ, Ünïté; İstanbul. e\u0301t\u00e9 a\0b \0 \0, x<|endoftext|>, <|EndOfText|>. 12, ..., !? a.b.c.", "\u1e9e ŉ ǅ, ﬁn."]
+    for _ in range(2):
+        for text, packed in zip(TEXTS + more, encoder.encode(TEXTS + more), strict=True):
+            assert b"".join(packed) == b"".join(i.to_bytes(4, "little") for i in whole.encode(text or "", add_special_tokens=False).ids), repr(text)
+
+
 def test_counts_and_cache(spark):
     whole = Tokenizer.from_file(PATH)
     cache = scratch_path(spark, "cache")
