@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depframe.llm import jaccard_join, media_columns, packing, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_counts, url_filters
+from depframe.llm import jaccard_join, media_columns, packing, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_counts, url_filters
 from depframe.session import scratch_path, table
 
 #: Fixed values. (verdict, host, path) of the URL rules.
@@ -87,6 +87,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality_classifier.fit_quality(docs, labels)
+    scored = quality_classifier.score_quality(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filters": op9_url_filters,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
