@@ -41,6 +41,7 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.options(**options).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets the context cleaner delete the shuffle files of the plan just run
     return spark.read.schema(df.schema).parquet(path)
 
 
