@@ -12,14 +12,16 @@ nothing as there are ``spare`` groups beyond what the argument needs: a pair is
 
 Copies: sets equal within a task sign once, and those equal across tasks are linked by their digest.
 
-Buckets: each set is first compared with one partner only, the least of all in its buckets. Sets that this links are one component
-and need no further comparison among themselves. Then every pair of sets from different components that share a
-bucket is compared, exactly and without any cap. So a large group of near copies costs a few comparisons for each member,
-not one for each pair, and no link between components is lost.
+Buckets: each set is first compared with one partner only, of those that are least in some bucket the one it meets most often. Sets
+that this links are one component and need no further comparison among themselves. Then every pair of sets from different
+components that share a bucket is compared, exactly and without any cap. So a large group of near copies costs
+a few comparisons for each member, not one for each pair, and no link between components is lost. Before sets
+are fetched, the number of buckets a pair shares is held against the least that its two sizes allow, which is exact too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -59,8 +61,8 @@ def bands(num: int, den: int, largest: int) -> tuple[Band, ...]:
     """The bands of sizes up to ``largest`` and their schemes for the threshold num / den."""
     out, low = [], 1
     while low <= largest:
-        high = low + 1
-        while high < low * GROWTH or _differ(high, num, den) == 0:
+        high = max(low + 1, math.ceil(low * GROWTH))
+        while _differ(high, num, den) == 0:
             high += 1
         k = _differ(high - 1, num, den)
         if k == 0:
@@ -121,15 +123,21 @@ def _subsets(n2: int, k2: int) -> np.ndarray:
     return np.array(list(combinations(range(n2), n2 - k2)))
 
 
-def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """All signatures of a set: of its band and, where a partner may be smaller than the band, of the one below."""
-    size = len(hashes)
-    if not size:
-        return np.zeros(0, np.uint64)
+def own_band(size: int, num: int, den: int) -> tuple[int, tuple[Band, ...]]:
+    """Number of the band of ``size``, and all bands."""
     family = bands(num, den, 1 << max(8, int(size).bit_length() + 1))
-    own = next(i for i, b in enumerate(family) if b.low <= size < b.high)
+    return next(i for i, b in enumerate(family) if b.low <= size < b.high), family
+
+
+def signatures(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, int]:
+    """All signatures of a set, its band, and how many groups of the band's first dealing have an empty subset.
+
+    They are of its band and, where a partner may be smaller than the band, of the one below. The last byte of each tells band and dealing.
+    """
+    size = len(hashes)
+    own, family = own_band(size, num, den)
     tags = [own] + [own - 1] * (own > 0 and num * size <= den * (family[own].low - 1))
-    content, out = mix(hashes + np.uint64(11)), []
+    content, out, empty = mix(hashes + np.uint64(11)), [], 0
     for tag in tags:
         b = family[tag]
         for dealing in range(DEALINGS):
@@ -143,28 +151,34 @@ def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
             for j in range(chosen.shape[1]):
                 total += mix(sums[:, chosen[:, j]] + np.uint64(j + 1)) * (counts[:, chosen[:, j]] > 0)
             name = np.arange(b.n1 * len(chosen), dtype=np.uint64).reshape(total.shape) + np.uint64((tag << 40) + (dealing << 32))
-            total = mix(total ^ mix(name))
-            sure = int((~filled.all(1)).sum()) <= b.spare
+            total = (mix(total ^ mix(name)) & ~np.uint64(255)) | np.uint64(tag * DEALINGS + dealing)
+            holes = int((~filled.all(1)).sum())
+            if tag == own and not dealing:
+                empty = holes
+            sure = holes <= b.spare
             out.append(total[filled] if sure or dealing < DEALINGS - 1 else total.ravel())
             if sure:
                 break
-    return np.concatenate(out)
+    return np.concatenate(out), own, empty
+
+
+SIGNED = "id long, n long, digest binary, band int, holes int, signatures array<long>"
 
 
 def _sign(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, digests, signed = [], [], []
+            rows: dict[str, list] = {"n": [], "digest": [], "band": [], "holes": [], "signatures": []}
             for h in shingle_hashes(batch.column("text"), words):
                 with np.errstate(over="ignore"):
                     digest = np.array([mix(h).sum(dtype=np.uint64), mix(h + np.uint64(99)).sum(dtype=np.uint64), len(h)], np.uint64).tobytes()
-                    sizes.append(len(h))
-                    digests.append(digest if len(h) else None)
-                    signed.append(None if digest in seen or not len(h) else signatures(h, num, den).view(np.int64))
+                    signed, band, holes = (None, None, None) if digest in seen or not len(h) else signatures(h, num, den)
+                for name, x in zip(rows, (len(h), digest if len(h) else None, band, holes, None if signed is None else signed.view(np.int64)), strict=True):
+                    rows[name].append(x)
                 seen.add(digest)
-            lists = pa.array(signed, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n", "digest", "signatures"])
+            kinds = {"n": pa.int64(), "digest": pa.binary(), "band": pa.int32(), "holes": pa.int32(), "signatures": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id")} | {k: pa.array(rows[k], t) for k, t in kinds.items()})
 
     return run
 
@@ -202,7 +216,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     links. Repeated rows stay repeated; an empty table gives an empty table.
     """
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_sign(words, num, den), "id long, n long, digest binary, signatures array<long>"), "signatures")
+    signed = materialise(docs.mapInArrow(_sign(words, num, den), SIGNED), "signatures")
     usable = signed.where("id is not null and digest is not null")
     heads = usable.groupBy("digest").agg(F.min("id").alias("head"))
     rows = usable.where("signatures is not null").select("id", F.explode("signatures").alias("s"))
@@ -213,9 +227,10 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     known = docs.where("id is not null")
 
     centre = members.groupBy("s").agg(F.min("id").alias("c"))
-    first = members.join(centre, "s").where("id != c").groupBy("id").agg(F.min("c").alias("c"))
-    same = signed.where("signatures is not null").select("id", "digest").distinct()
-    edges = materialise(edges.union(verified(_open(first.select(*_ordered("id", "c")), same), known, words, num, den)), "links")
+    meets = members.join(centre, "s").where("id != c").groupBy("id", "c").agg(F.count("*").alias("k"))
+    first = meets.groupBy("id").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c"))
+    info = materialise(signed.where("id is not null and signatures is not null").groupBy("id").agg(F.min("n").alias("n"), F.first("digest").alias("d"), F.min("band").alias("band"), F.max("holes").alias("holes")), "sizes")
+    edges = materialise(edges.union(verified(_open(first.select(*_ordered("id", "c")), info), known, words, num, den)), "links")
 
     labelled = _labelled(members, edges)
     many = labelled.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("s")
@@ -225,17 +240,41 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     hub = sizes.groupBy("s").agg(F.max(F.struct("k", "component")).alias("x")).select("s", F.col("x.component").alias("hub"))
     rest = mixed.join(hub, "s").where("component != hub").select("s", F.col("id").alias("p"), F.col("component").alias("cp"), "hub")
     met = rest.join(mixed, "s").where((F.col("cp") != F.col("component")) & ((F.col("component") == F.col("hub")) | (F.col("p") < F.col("id"))))
-    pairs = materialise(met.select(*_ordered("p", "id")).distinct(), "pairs")
+    shared = met.groupBy(*_ordered("p", "id"), F.col("s").bitwiseAND(255).alias("code")).agg(F.count("*").alias("k"))
+    pairs = materialise(_possible(shared, info, num, den), "pairs")
     edges = edges.union(verified(pairs, known, words, num, den))
     classes = connected_components(edges)
     return signed.select("id", "n").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _open(pairs: DataFrame, same: DataFrame) -> DataFrame:
+def _both(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``info`` for both ends, suffixed _a and _b."""
+    for end in "ab":
+        pairs = pairs.join(info.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "d", "band", "holes"))), end)
+    return pairs
+
+
+def _open(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """``pairs`` whose sets are not known to be equal already."""
-    x = same.select(F.col("id").alias("a"), F.col("digest").alias("da"))
-    y = same.select(F.col("id").alias("b"), F.col("digest").alias("db"))
-    return materialise(pairs.distinct().join(x, "a").join(y, "b").where("da != db").select("a", "b").distinct(), "first-pairs")
+    return materialise(_both(pairs.distinct(), info).where("d_a != d_b").select("a", "b").distinct(), "first-pairs")
+
+
+def _possible(shared: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``shared`` (a, b, code, k buckets of that code) whose sizes allow no more buckets than they share.
+
+    Sets of sizes x and y that reach the threshold differ in at most (x + y)(den - num) / (den + num) elements, so all but
+    that many groups of the smaller one's band agree, and only those with a hole can do so without a bucket.
+    """
+    family = bands(num, den, 1 << 40)
+    groups, step = F.array(*(F.lit(b.n1).cast("long") for b in family)), F.array(*(F.lit(b.k2 + 1).cast("long") for b in family))
+    smaller = F.when(F.col("n_a") <= F.col("n_b"), F.struct(F.col("band_a").alias("band"), F.col("holes_a").alias("holes")))
+    smaller = smaller.otherwise(F.struct(F.col("band_b").alias("band"), F.col("holes_b").alias("holes")))
+    rows = _both(shared, info).withColumn("small", smaller)
+    differ = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
+    least = F.get(groups, F.col("small.band")) - F.floor(differ / F.get(step, F.col("small.band"))) - F.col("small.holes")
+    enough = (F.col("code") == F.col("small.band") * DEALINGS) & (F.col("k") >= least)
+    close = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
+    return rows.where(close & (enough | (least <= 0))).select("a", "b").distinct()
 
 
 def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from depframe.llm.quality_classifier import N_FEATURES, fit_nnpu, fit_quality, held_out, score_quality, text_features
 from depframe.session import table
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     model = fit_quality(docs, labels)
-    scored = score_quality(docs, model).join(labels, "doc_id").withColumn("out", held_out(docs["doc_id"])).where("out").collect()
+    scored = score_quality(docs, model).join(labels, "doc_id").withColumn("out", held_out(F.col("doc_id"))).where("out").collect()
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in scored)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in scored)
     y, s = np.array([r["quality"] for r in scored]), np.array([r["score"] for r in scored])
