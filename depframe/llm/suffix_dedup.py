@@ -8,13 +8,13 @@ hashes in place of bytes brings equal beginnings together just the same, which i
 
 A new batch of documents is cut into such suffixes, brought into order together with the existing levels by one exchange and sort, and
 scanned once. Equal (a, s) means that all the stretch's windows repeat. Equal a with different s may
-share some windows: those stretches are contested, and the windows of one representative of each go into a last comparison, window by
-window. Levels of one rank merge as in a binary counter: the scan writes the batch and the levels that merge with it as one array,
+share some windows: those stretches are contested, and one representative of each goes, with its bytes, into a last comparison of
+the windows of equal anchors. Levels of one rank merge as in a binary counter: the scan writes the batch and the levels that merge with it as one array,
 and leaves larger levels alone.
 
 Hot passages: copies within a slice of text are reduced to the earliest at once. An anchor that meets ``HOT``
-different stretches in a slice, as in a line that very many documents share, has the slice's windows compared directly; only a mark
-goes to its sorted group. So a group holds few rows for each slice, however common its passage.
+different stretches in a slice, as in a line that very many documents share, has its windows compared one by one, dealt by their own
+hashes; only a mark goes to its sorted group. So a group holds few rows for each slice, however common its passage.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from depframe.session import materialise, scratch_path
 LENGTH, ANCHOR, HOT = 100, 32, 16
 #: Window starts that are worked on at a time within one text.
 BLOCK = 4 << 20
-ENTRY, REPEAT, MARK, WINDOW, CONTEST = range(5)
+ENTRY, REPEAT, MARK, WINDOW, CONTEST, HOT_CONTEST, STRETCH = range(7)
 ROWS = "kind int, a long, s long, doc long, at long, n int"
 _FIELDS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
 #: A null key comes after all others.
@@ -146,7 +146,8 @@ def _merge_scan(keep_level: bool):
         repeat = entry & fresh & ~new & ((doc != doc[head]) | (at != at[head]))
         yield _rows(REPEAT, a[repeat], s[repeat], doc[repeat], at[repeat], n[repeat])
         fought = entry & new & contested[group]
-        yield _rows(CONTEST, a[fought], s[fought], doc[fought], at[fought], n[fought])
+        marked = np.bincount(group, kind == MARK) > 0
+        yield _rows(np.where(marked[group[fought]], HOT_CONTEST, CONTEST), a[fought], s[fought], doc[fought], at[fought], n[fought])
         if keep_level:
             stay = new & merging
             yield _rows(kind[stay], a[stay], s[stay], doc[stay], at[stay], n[stay])
@@ -176,7 +177,7 @@ class SuffixLevels:
         self.levels: list[tuple[int, str]] = []  # (rank, path), largest rank first
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """Scan a batch (doc, text) against all levels and itself; rows of kinds REPEAT, WINDOW and CONTEST.
+        """Scan a batch (doc, text) against all levels and itself; rows of kinds REPEAT, WINDOW, CONTEST and HOT_CONTEST.
 
         Documents of a batch must not come before those of earlier batches. ``last``: no batch follows, so no level is written.
         """
@@ -191,7 +192,7 @@ class SuffixLevels:
         ordered = batch.repartition("a").sortWithinPartitions("a", "s", "kind", "doc", "at")
         out = scratch_path(self.spark, "suffix-level")
         ordered.mapInArrow(_merge_scan(not last), ROWS).write.parquet(out)
-        found = self.spark.read.schema(ROWS).parquet(out).where(F.col("kind").isin(REPEAT, WINDOW, CONTEST))
+        found = self.spark.read.schema(ROWS).parquet(out).where(F.col("kind").isin(REPEAT, WINDOW, CONTEST, HOT_CONTEST))
         if last:
             return found
         found = materialise(found, "suffix-found")
@@ -215,45 +216,95 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _contested_windows(length: int):
+STRETCHES = f"{ROWS}, bytes binary"
+
+
+def _contested_stretches(length: int):
+    """The bytes of contested stretches; of those with a marked anchor, the windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bare = lambda rows: rows.append_column(pa.field("bytes", pa.binary()), pa.nulls(rows.num_rows, pa.binary()))
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             spans = batch.column("spans")
             bounds = spans.offsets.to_numpy()
             flat = spans.flatten()
-            begin, count = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            begin, count, anchor, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            count = count.astype(np.int64)
             base = bounds[0]
             for lo, hi in slices(offsets):
                 part = data[offsets[lo] : offsets[hi]]
                 chosen = slice(bounds[lo] - base, bounds[hi] - base)
                 text = np.repeat(np.arange(lo, hi), np.diff(bounds[lo : hi + 1]))
-                b, n = begin[chosen], count[chosen]
+                b, n, a, marked = begin[chosen], count[chosen], anchor[chosen], hot[chosen].astype(bool)
                 fits = b + n + length - 1 <= (offsets[text + 1] - offsets[text])  # another row may share the key
-                b, n, text = b[fits], n[fits], text[fits]
-                if not len(b):
-                    continue
-                h, g = PrefixHash(part, 0), PrefixHash(part, 1)
-                x, y, doc, at = _windows(h, g, b + offsets[text] - offsets[lo], n, ids[text], b, length)
-                w, again = _split_earliest(x, y, doc, at)
-                yield _rows(WINDOW, x[w], y[w], doc[w], at[w], 1)
-                yield _rows(REPEAT, x[again], y[again], doc[again], at[again], 1)
+                b, n, a, marked, text = b[fits], n[fits], a[fits], marked[fits], text[fits]
+                first = b + offsets[text] - offsets[lo]
+                calm = np.flatnonzero(~marked)
+                if len(calm):
+                    body = pa.array([part[x : x + k].tobytes() for x, k in zip(first[calm].tolist(), (n[calm] + length - 1).tolist())], pa.binary())
+                    yield _rows(STRETCH, a[calm], 0, ids[text[calm]], b[calm], n[calm]).append_column("bytes", body)
+                if marked.any():
+                    h, g = PrefixHash(part, 0), PrefixHash(part, 1)
+                    x, y, doc, at = _windows(h, g, first[marked], n[marked], ids[text[marked]], b[marked], length)
+                    w, again = _split_earliest(x, y, doc, at)
+                    yield bare(_rows(WINDOW, x[w], y[w], doc[w], at[w], 1))
+                    yield bare(_rows(REPEAT, x[again], y[again], doc[again], at[again], 1))
+
+    return run
+
+
+def _compare(length: int):
+    """Over stretches in the order of their anchors: runs of windows that an earlier stretch of the anchor has too."""
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
+        doc, at, n = (t[c].to_numpy() for c in ("doc", "at", "n"))
+        n = n.astype(np.int64)
+        size = n + length - 1
+        first = np.cumsum(size) - size
+        x, y, wdoc, wat = _windows(PrefixHash(data, 0), PrefixHash(data, 1), first, n, doc, at, length)
+        _, later = _split_earliest(x, y, wdoc, wat)
+        later.sort()
+        stretch = np.repeat(np.arange(len(n)), n)[later]
+        new = np.r_[True, (later[1:] != later[:-1] + 1) | (stretch[1:] != stretch[:-1])][: len(later)]
+        begin = np.flatnonzero(new)
+        runs = np.diff(np.r_[begin, len(later)])
+        some = later[begin]
+        return _rows(REPEAT, x[some], y[some], wdoc[some], wat[some], runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            a = held["a"].to_numpy()
+            cut = int(np.searchsorted(a, a[-1])) if len(a) else 0  # the last anchor may go on
+            if cut:
+                yield compared(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield compared(held)
 
     return run
 
 
 def repeated_windows(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """(doc, at, n) of all stretches of n windows that repeat an earlier one, once contested stretches are settled."""
-    places = found.where(F.col("kind") == CONTEST).select("doc", "at", "n").distinct()
-    spans = places.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    settled = docs.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_contested_windows(length), ROWS)
-    settled = materialise(settled, "suffix-windows")
-    both = settled.unionByName(found.where(F.col("kind") != CONTEST))
+    places = found.where(F.col("kind").isin(CONTEST, HOT_CONTEST)).groupBy("doc", "at", "n", "a").agg(F.max("kind").alias("kind"))
+    hot = places.where(F.col("kind") == HOT_CONTEST).select("a").distinct().withColumn("hot", F.lit(True))
+    places = places.join(hot, "a", "left").select("doc", "at", F.col("n").cast("long").alias("n"), "a", F.coalesce("hot", F.lit(False)).alias("hot"))
+    spans = places.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "a", "hot")).alias("spans"))
+    settled = docs.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_contested_stretches(length), STRETCHES)
+    settled = materialise(settled, "suffix-contested")
+    calm = settled.where(F.col("kind") == STRETCH).select("a", "doc", "at", "n", "bytes")
+    fought = calm.repartition("a").sortWithinPartitions("a", "doc", "at").mapInArrow(_compare(length), ROWS)
+    both = settled.select(*found.columns).unionByName(found)
     windows = both.where(F.col("kind") == WINDOW).select("a", "s", "doc", "at")
     earliest = windows.groupBy("a", "s").agg(F.min(F.struct("doc", "at")).alias("e"), F.count("*").alias("c")).where("c > 1").select("a", "s", "e")
     later = windows.join(earliest, ["a", "s"]).where((F.col("doc") != F.col("e.doc")) | (F.col("at") != F.col("e.at")))
-    sure = both.where(F.col("kind") == REPEAT).select("doc", "at", "n")
+    sure = both.where(F.col("kind") == REPEAT).unionByName(fought).select("doc", "at", "n")
     return sure.unionByName(later.select("doc", "at", F.lit(1).alias("n")))
 
 
