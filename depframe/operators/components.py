@@ -18,12 +18,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
-    now = materialise(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = materialise(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", tidy=False)
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         now = _star(both, F.col("v") > F.col("u"))
-        now = materialise(_star(now, F.lit(True)), "edges")
+        now = materialise(_star(now, F.lit(True)), "edges", tidy=False)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark:
             break

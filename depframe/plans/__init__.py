@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from depframe.plans import graphs, lines, rows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = lines.QUERIES | rows.QUERIES | graphs.QUERIES
+ORACLES: dict[str, str] = lines.ORACLES | rows.ORACLES | graphs.ORACLES

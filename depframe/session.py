@@ -33,15 +33,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/depframe/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back.
 
     This cuts lineage: a lost executor costs only the tasks that were running, never the plan behind the table.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.options(**options).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner delete the shuffle files of the plan just run
+    df.write.parquet(path)
+    if tidy:
+        spark.sparkContext._jvm.System.gc()  # lets the context cleaner delete the shuffle files of the plan just run
     return spark.read.schema(df.schema).parquet(path)
 
 
