@@ -12,8 +12,10 @@ nothing as there are ``spare`` groups beyond what the argument needs: a pair is
 
 Copies: sets equal within a task sign once, and those equal across tasks are linked by their digest.
 
-Buckets: each set is first compared with one partner only, of those that are least in some bucket the one it meets most often. Sets
-that this links are one component and need no further comparison among themselves. Then every pair of sets from different
+Buckets: each set is first compared with one partner only, of those that are the most popular of some bucket (their buckets hold most
+rows) the one it meets most often; the original of a group of near copies is the most popular of all its buckets. Sets that this links
+are one component and need no further comparison among themselves. The distance to the partner serves on: it is a metric, so
+two sets whose distances to one partner differ by more than they may differ from each other are no pair. Then every pair of sets from different
 components that share a bucket is compared, exactly and without any cap. So a large group of near copies costs
 a few comparisons for each member, not one for each pair, and no link between components is lost. Before sets
 are fetched, the number of buckets a pair shares is held against the least that its two sizes allow, which is exact too.
@@ -193,15 +195,18 @@ def _sets(words: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose sets reach the threshold, as (a, b)."""
+def compared(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The distinct ``pairs`` (a, b) with x and y, the sizes of their sets, and common."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, hashes array<long>")
     sets = materialise(sets, "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return materialise(both.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("common")), "compared")
+
+
+def _linked(done: DataFrame, num: int, den: int) -> DataFrame:
+    return done.where(den * F.col("common") >= num * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b").distinct()
 
 
 def _ordered(a: str, b: str):
@@ -220,29 +225,40 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     usable = signed.where("id is not null and digest is not null")
     heads = usable.groupBy("digest").agg(F.min("id").alias("head"))
     rows = usable.where("signatures is not null").select("id", F.explode("signatures").alias("s"))
-    again = rows.groupBy("s").count().where("count > 1").select("s")
+    again = rows.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1")
     members = materialise(rows.join(again, "s").distinct(), "buckets")
     copies = usable.join(heads, "digest").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     edges = materialise(copies, "copies")
     known = docs.where("id is not null")
+    info = signed.where("id is not null and signatures is not null").groupBy("id")
+    info = materialise(info.agg(F.min("n").alias("n"), F.first("digest").alias("d"), F.min("band").alias("band"), F.max("holes").alias("holes")), "sizes")
 
-    centre = members.groupBy("s").agg(F.min("id").alias("c"))
+    popular = members.groupBy("id").agg(F.sum("rows").alias("popular"))
+    centre = members.join(popular, "id").groupBy("s").agg(F.max_by("id", F.struct("popular", -F.col("id"))).alias("c"))
+    members = members.drop("rows")
     meets = members.join(centre, "s").where("id != c").groupBy("id", "c").agg(F.count("*").alias("k"))
-    first = meets.groupBy("id").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c"))
-    info = materialise(signed.where("id is not null and signatures is not null").groupBy("id").agg(F.min("n").alias("n"), F.first("digest").alias("d"), F.min("band").alias("band"), F.max("holes").alias("holes")), "sizes")
-    edges = materialise(edges.union(verified(_open(first.select(*_ordered("id", "c")), info), known, words, num, den)), "links")
+    first = materialise(meets.groupBy("id").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c")), "first")
+    star = compared(_open(first.select(*_ordered("id", "c")), info), known, words)
+    edges = materialise(edges.union(_linked(star, num, den)), "links")
+    away = first.select("id", "c", *_ordered("id", "c")).join(star, ["a", "b"]).groupBy("id", "c").agg(F.min(F.col("x") + F.col("y") - 2 * F.col("common")).alias("away"))
+    own = first.select(F.col("c").alias("id")).distinct().join(away, "id", "left_anti").select("id", F.col("id").alias("c"), F.lit(0).alias("away"))
+    info = materialise(info.join(away.unionByName(own), "id", "left"), "sizes")
 
     labelled = _labelled(members, edges)
     many = labelled.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("s")
-    mixed = materialise(labelled.join(many, "s"), "mixed")
+    mixed = materialise(labelled.join(many, "s").join(info.select("id", "n", "c", "away"), "id"), "mixed")
     # The largest component of a bucket meets the others, and the others one another; its own members never meet.
     sizes = mixed.groupBy("s", "component").agg(F.count("*").alias("k"))
     hub = sizes.groupBy("s").agg(F.max(F.struct("k", "component")).alias("x")).select("s", F.col("x.component").alias("hub"))
-    rest = mixed.join(hub, "s").where("component != hub").select("s", F.col("id").alias("p"), F.col("component").alias("cp"), "hub")
-    met = rest.join(mixed, "s").where((F.col("cp") != F.col("component")) & ((F.col("component") == F.col("hub")) | (F.col("p") < F.col("id"))))
+    rest = mixed.join(hub, "s").where("component != hub")
+    rest = rest.select("s", "hub", *(F.col(c).alias(p) for c, p in (("id", "p"), ("component", "cp"), ("n", "np"), ("c", "pivot"), ("away", "ap"))))
+    apart = (F.col("cp") != F.col("component")) & ((F.col("component") == F.col("hub")) | (F.col("p") < F.col("id")))
+    close = den * F.least("np", "n") >= num * F.greatest("np", "n")
+    far = (F.col("pivot") == F.col("c")) & (F.abs(F.col("ap") - F.col("away")) > F.floor((F.col("np") + F.col("n")) * (den - num) / (den + num)))
+    met = rest.join(mixed, "s").where(apart & close & ~F.coalesce(far, F.lit(False)))
     shared = met.groupBy(*_ordered("p", "id"), F.col("s").bitwiseAND(255).alias("code")).agg(F.count("*").alias("k"))
     pairs = materialise(_possible(shared, info, num, den), "pairs")
-    edges = edges.union(verified(pairs, known, words, num, den))
+    edges = edges.union(_linked(compared(pairs, known, words), num, den))
     classes = connected_components(edges)
     return signed.select("id", "n").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
