@@ -69,17 +69,25 @@ def bands(num: int, den: int, largest: int) -> tuple[Band, ...]:
         k = _differ(high - 1, num, den)
         if k == 0:
             out.append(Band(low, high, 0, 1, 1, 0, 0))
-        elif k <= ENUMERATED:
-            groups = k // 2 + 1
-            spare = 1 + groups // 12
-            out.append(Band(low, high, k, groups + spare, 3, 1, spare))
         else:
-            spare = 2 + (k + 1) // 25
-            out.append(Band(low, high, k, k + 1 + spare, 1, 0, spare))
+            n2, k2 = (3, 1) if k <= ENUMERATED else (1, 0)
+            groups = k // (k2 + 1) + 1
+            spare = _spare(groups, n2, low)
+            out.append(Band(low, high, k, groups + spare, n2, k2, spare))
         low = high
     return tuple(out)
 
 
+def _spare(groups: int, n2: int, size: int) -> int:
+    """Groups to add so that few sets of ``size`` have more groups with an empty subset than that."""
+    spare = 1
+    for _ in range(12):
+        empty = math.exp(-size / ((groups + spare) * n2))
+        hole = empty if n2 == 1 else 3 * empty**2 * (1 - empty) + empty**3
+        spare = 1 + math.ceil(1.3 * (groups + spare) * hole + (groups * hole) ** 0.5)
+    return spare
+
+
 def _differ(size: int, num: int, den: int) -> int:
     """Most elements in which a set of ``size`` and a partner of that size or more can differ."""
     return (size + den * size // num) * (den - num) // (den + num)
@@ -225,7 +233,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     usable = signed.where("id is not null and digest is not null")
     heads = usable.groupBy("digest").agg(F.min("id").alias("head"))
     rows = usable.where("signatures is not null").select("id", F.explode("signatures").alias("s"))
-    again = rows.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = materialise(rows.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated")
     members = materialise(rows.join(again, "s").distinct(), "buckets")
     copies = usable.join(heads, "digest").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     edges = materialise(copies, "copies")
