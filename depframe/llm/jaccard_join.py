@@ -79,12 +79,13 @@ def bands(num: int, den: int, largest: int) -> tuple[Band, ...]:
 
 
 def _spare(groups: int, n2: int, size: int) -> int:
-    """Groups to add so that few sets of ``size`` have more groups with an empty subset than that."""
+    """Groups to add so that few sets of ``size`` have more groups with an empty subset than that; small bands leave more to further dealings."""
+    if n2 > 1:
+        return 1 + groups // 12
     spare = 1
     for _ in range(12):
-        empty = math.exp(-size / ((groups + spare) * n2))
-        hole = empty if n2 == 1 else 3 * empty**2 * (1 - empty) + empty**3
-        spare = 1 + math.ceil(1.3 * (groups + spare) * hole + (groups * hole) ** 0.5)
+        hole = math.exp(-size / (groups + spare))
+        spare = min(2 + groups // 5, 1 + math.ceil(1.2 * (groups + spare) * hole + (groups * hole) ** 0.5))
     return spare
 
 
