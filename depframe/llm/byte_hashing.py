@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; it bounds memory and changes no result.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
