@@ -9,6 +9,7 @@ may be cut elsewhere.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -19,7 +20,7 @@ from pathlib import Path
 import numpy as np
 
 #: A dictionary of more chunks than this is begun anew. It bounds a worker's memory and changes no result.
-MAX_CHUNKS = 500_000
+MAX_CHUNKS, MAX_WORDS = 500_000, 1_000_000
 #: Characters of text that are looked up at a time.
 SLICE_CHARS = 4_000_000
 
@@ -84,42 +85,33 @@ def id_bytes(ids: list[int]) -> bytes:
 
 
 class WordEncoder(ChunkEncoder):
-    """For vocabularies that drop white space and case: a text's ids are those of its words, packed as bytes.
+    """For vocabularies that drop white space: a text's ids are those of its words, packed as bytes.
 
-    New words are encoded many at a time, with a separator between them whose id no word without that character has. A word's
-    closing punctuation is looked up by itself where a letter or digit comes before it, and letters in lower case.
+    New words are encoded many at a time, with a separator between them whose id no word without that character has.
     """
 
-    SEPARATOR, TAIL, TOGETHER = "\0", ".,;:!?", 2_000
+    SEPARATOR, TOGETHER = "\0", 2_000
 
     def __init__(self, path: str):
         super().__init__(path, id_bytes)
 
     def encode(self, texts: list[str | None]) -> Iterator[list[bytes]]:
         for part in _slices(texts):
+            gc.disable()  # millions of new strings hold no cycles
             cut = [(t or "").replace("\n", " ").split(" ") for t in part]
-            if len(self.known) > MAX_CHUNKS:
+            if len(self.known) > MAX_WORDS:
                 self.known = {}
             new = set()
             for words in cut:
                 new.update(words)
             self._learn(new - self.known.keys())
+            gc.enable()
             get = self.known.__getitem__
             for words in cut:
                 yield list(map(get, words))
 
     def _learn(self, new: set[str]) -> None:
-        made = []
-        for w in new:
-            core = w.rstrip(self.TAIL)
-            tail = w[len(core) :]
-            if tail and not core[-1:].isalnum():
-                core, tail = w, ""
-            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-                core = core.lower()
-            made.append((w, core, tail))
-        base = list({x for _, core, tail in made for x in (core, tail)} - self.known.keys())
-        plain = [x for x in base if self.SEPARATOR not in x]
+        plain = [w for w in new if self.SEPARATOR not in w]
         vocabulary = tokenizer(self.path)
         between = vocabulary.encode(self.SEPARATOR, add_special_tokens=False).ids
         for lo in range(0, len(plain), self.TOGETHER):
@@ -130,10 +122,9 @@ class WordEncoder(ChunkEncoder):
                 raise ValueError("the vocabulary does not keep the separator apart")
             packed = ids.tobytes()
             self.known.update((w, packed[a:b]) for w, a, b in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(packed)], strict=True))
-        for x in base:
-            if self.SEPARATOR in x:
-                self.known[x] = id_bytes(vocabulary.encode(x, add_special_tokens=False).ids)
-        self.known.update((w, self.known[core] + self.known[tail]) for w, core, tail in made)
+        for w in new:
+            if self.SEPARATOR in w:
+                self.known[w] = id_bytes(vocabulary.encode(w, add_special_tokens=False).ids)
 
 
 def drops_space_and_case(path: str) -> bool:
