@@ -3,8 +3,8 @@
 Only DataFrame functions are used. Where a match lies follows from the lengths of the pieces between matches, so
 one ``split`` and one ``regexp_extract_all`` give spans.
 
-The battery looks at tokens of 20 characters and more that mix character classes, infers an encoding from
-their alphabet, and tests the hypothesis that symbols are drawn uniformly: Pearson's chi-squared over the alphabet (with the
+The battery looks at tokens of 20 characters and more, ended by an inner ``=`` (which is no more than padding at the end of
+a token), infers an encoding from their alphabet, and tests the hypothesis that symbols are drawn uniformly: Pearson's chi-squared over the alphabet (with the
 exact variance of its length), the number of runs above and below the alphabet's middle, and lag-one serial
 correlation. The least of the three p-values, times three, is the token's. A token is structured text if the procedure of
 Benjamini and Hochberg rejects it among the tokens of its length band, at ``RATE`` false rejections: short tokens, with
@@ -25,7 +25,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run of under 16 has no later start that reach
 HEX = r"[0-9a-f]{32,}"  # likewise
 KINDS = ("assign", "access", "hex", "random")
 #: Tokens of the battery and the alphabets of encodings, the narrowest that fits first.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}(?:=++(?![A-Za-z0-9+/_-]))?"
 ALPHABETS = [
     ("hex", "0123456789ABCDEF", r"^[0-9A-F]+$"),
     ("hex", "0123456789abcdef", r"^[0-9a-f]+$"),
@@ -67,13 +67,12 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """p-value of uniformity of a token; null where no encoding fits or its characters do not mix classes."""
+    """p-value of uniformity of a token; null where no encoding fits."""
     bare = F.regexp_replace(token, "=+$", "")
-    mixed = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]") & ~bare.rlike(r"[-/_+]{2}|^[-/_+]|=")
     p = F.lit(None).cast("double")
     for _, letters, pattern in reversed(ALPHABETS):
         p = F.when(bare.rlike(pattern), _uniformity(bare, letters)).otherwise(p)
-    return F.when(mixed & (F.length(bare) >= BAND_FROM[0]), p)
+    return p
 
 
 def _uniformity(token: Column, letters: str) -> Column:

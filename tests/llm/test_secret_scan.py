@@ -47,3 +47,22 @@ def test_masking(spark):
     out = {r["doc_id"]: r["t"] for r in secret_scan(df).withColumn("t", masked(F.col("text"), F.col("secrets"))).collect()}
     assert out == {1: f"a {MASK} b", 2: None, 3: "plain"}
     assert secret_scan(df.limit(0)).count() == 0
+
+
+def test_assigned_and_uniform_tokens_are_masked(spark):
+    plain = base64.b64encode(RND.randbytes(48)).decode()
+    texts = [f"AWS_SECRET_ACCESS_KEY={plain} x", f"AccountKey={plain}; x", f"AccountKey={plain[:-2]}==; x", f"A={plain}=={plain} x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["t"] for r in secret_scan(df).select("doc_id", masked(F.col("text"), F.col("secrets")).alias("t")).collect()}
+    assert out == {0: f"AWS_SECRET_ACCESS_KEY={MASK} x", 1: f"AccountKey={MASK}; x", 2: f"AccountKey={MASK}; x", 3: f"A={MASK}=={MASK} x"}
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = ["".join(RND.choice(letters) for _ in range(n)) for n in (40, 64, 86) for _ in range(600)]
+    odd = [t for t in drawn if re.search(r"[/+]{2}|^[/+]", t) or not re.search("[0-9]", t)]
+    structured = ["-" * 40, "/usr/share/usr/share/usr/share/", "_" * 25]
+    kept = set()
+    for texts in (drawn, structured):
+        found = secret_scan(spark.createDataFrame([(t, t) for t in texts], "id string, text string")).where(F.size("secrets") > 0)
+        kept |= {r["id"] for r in found.collect()}
+    assert len(odd) > 100 and sum(t in kept for t in odd) >= 0.95 * len(odd)
+    assert not kept & set(structured)
