@@ -106,6 +106,7 @@ class PieceModel:
     name: str
     chunk: str
     _known: dict = field(default_factory=dict, repr=False)
+    _lists: list = field(default_factory=list, repr=False)
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -155,9 +156,9 @@ class PieceModel:
 
     def best_path(self, data: bytes) -> list[int]:
         """Ids of the highest-scoring way to cut ``data``, UTF-8."""
-        if "lists" not in self._known:
-            self._known["lists"] = [x.tolist() for x in self.trie] + [self.scores.tolist(), float(min((s for s, k in zip(self.scores, self.kinds) if k == NORMAL), default=0.0))]
-        base, check, value, scores, least = self._known["lists"]
+        if not self._lists:
+            self._lists = [x.tolist() for x in self.trie] + [self.scores.tolist(), float(min((s for s, k in zip(self.scores, self.kinds) if k == NORMAL), default=0.0))]
+        base, check, value, scores, least = self._lists
         size, n = len(check), len(data)
         best, back, which = [None] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0

@@ -87,6 +87,16 @@ def test_round_trip(spark):
     assert encode_column(df.limit(0), model).count() == 0
 
 
+def test_a_chunk_may_be_any_word(spark):
+    model = PieceModel.load(PATH)
+    texts = ["x\nlists of y", "lists", "x\nlists\nlists of"]
+    assert [model.decode(model.encode(t)) for t in texts] == texts
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fresh = PieceModel.load(PATH)
+    fresh.name = "fresh"
+    assert {r["doc_id"]: r["decoded"] for r in decode_column(encode_column(df, fresh), fresh).collect()} == dict(enumerate(texts))
+
+
 def test_best_path_is_the_best():
     pieces = ["<unk>", "<s>", *(f"<0x{b:02X}>" for b in range(256)), MARK, "a", "b", "ab", "aba", MARK + "a", "bb", "ba", "c"]
     kinds = [UNKNOWN, CONTROL, *[BYTE] * 256, *[NORMAL] * 9]
