@@ -58,7 +58,14 @@ def identifier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.size(names).cast("long").alias("n_names"), F.size(F.filter(names, T.is_variable)).cast("long").alias("n_variables"))
 
 
-QUERIES = {f.__name__: f for f in (line_table, line_predicates, exec_line_coverage, first_wins_dedup, quantile_floor, nl_sentences, identifier_sets)}
+def document_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``identifier_sets``, over all lines of each document; no identifier goes over a line's end."""
+    names = T.identifiers(F.col("text"))
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", names.alias("names"))
+    return docs.select("doc_id", F.size("names").cast("long").alias("n_names"), F.size(F.filter("names", T.is_variable)).cast("long").alias("n_variables"))
+
+
+QUERIES = {f.__name__: f for f in (line_table, line_predicates, exec_line_coverage, first_wins_dedup, quantile_floor, nl_sentences, identifier_sets, document_identifiers)}
 
 _LINES = r"""SELECT *, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS ln FROM documents WHERE length(text) > 0"""
 _CLEAN = r"regexp_replace(regexp_replace(raw, '//.*', '', 'g'), '\(\*.*?\*\)', '', 'g')"
@@ -91,4 +98,8 @@ ORACLES = {
         WITH l AS ({_LINES}), n AS (SELECT doc_id, list_distinct(regexp_extract_all(raw, '\b[A-Za-z_][0-9A-Za-z_]*\b')) AS names FROM l WHERE ln = 1)
         SELECT doc_id, len(names) AS n_names,
                len([x FOR x IN names IF upper(x) NOT IN ('TRUE', 'FALSE', 'NAN', 'INF', 'INFINITY')]) AS n_variables FROM n""",
+    "document_identifiers": r"""
+        WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\b[A-Za-z_][0-9A-Za-z_]*\b')) AS names FROM documents WHERE length(text) > 0)
+        SELECT doc_id, len(names) AS n_names,
+               len([x FOR x IN names IF upper(x) NOT IN ('TRUE', 'FALSE', 'NAN', 'INF', 'INFINITY')]) AS n_variables FROM n""",
 }

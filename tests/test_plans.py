@@ -34,3 +34,10 @@ def test_matches_duckdb(spark, con, name):
     at = [want.columns.index(c) for c in columns]
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
+def test_identifiers_of_later_lines_count(spark, tmp_path):
+    rows = [(1, "alpha beta\nbeta gamma TRUE\n\n  _d9 9e"), (2, ""), (3, None), (4, "\nlate"), (5, "1 2")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: (r["n_names"], r["n_variables"]) for r in plans.QUERIES["document_identifiers"](spark, str(tmp_path)).collect()}
+    assert out == {1: (5, 4), 4: (1, 1), 5: (0, 0)}
