@@ -181,13 +181,14 @@ def _sign(words: int, num: int, den: int):
         seen: set[bytes] = set()
         for batch in batches:
             rows: dict[str, list] = {"n": [], "digest": [], "band": [], "holes": [], "signatures": []}
-            for h in shingle_hashes(batch.column("text"), words):
+            for h, keyed in zip(shingle_hashes(batch.column("text"), words), batch.column("id").is_valid().to_pylist(), strict=True):
                 with np.errstate(over="ignore"):
                     digest = np.array([mix(h).sum(dtype=np.uint64), mix(h + np.uint64(99)).sum(dtype=np.uint64), len(h)], np.uint64).tobytes()
-                    signed, band, holes = (None, None, None) if digest in seen or not len(h) else signatures(h, num, den)
+                    signed, band, holes = (None, None, None) if digest in seen or not len(h) or not keyed else signatures(h, num, den)
                 for name, x in zip(rows, (len(h), digest if len(h) else None, band, holes, None if signed is None else signed.view(np.int64)), strict=True):
                     rows[name].append(x)
-                seen.add(digest)
+                if keyed:
+                    seen.add(digest)
             kinds = {"n": pa.int64(), "digest": pa.binary(), "band": pa.int32(), "holes": pa.int32(), "signatures": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_pydict({"id": batch.column("id")} | {k: pa.array(rows[k], t) for k, t in kinds.items()})
 

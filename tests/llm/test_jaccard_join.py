@@ -104,3 +104,12 @@ def test_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == root
+
+
+def test_a_null_key_takes_no_signatures_from_equal_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(base[:30] + ["other"] + base[31:])
+    rows = [(None, " ".join(base)), (1, " ".join(base)), (2, near)]
+    out = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["id"], r["component"]) for r in out if r["id"] is not None) == [(1, 1), (2, 1)]
+    assert [r["component"] for r in out if r["id"] is None] == [None]
