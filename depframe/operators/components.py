@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depframe.session import materialise
+from depframe.session import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -18,12 +18,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
-    now = materialise(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", tidy=False)
+    now = materialise(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = _star(both, F.col("v") > F.col("u"))
-        now = materialise(_star(now, F.lit(True)), "edges", tidy=False)
+        last, now = now, materialise(_star(_star(both, F.col("v") > F.col("u")), F.lit(True)), "edges")
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == mark:
             break
@@ -31,7 +31,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
+    out = materialise(nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component")), "components")
+    discard(now)
+    return out
 
 
 def _star(edges: DataFrame, linked) -> DataFrame:

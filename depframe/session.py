@@ -6,25 +6,34 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, or that the session set as its checkpoint directory.
 
-    Where it is unset (single machine, tests) one temporary folder for each application is used.
+    Where neither is set, a local session (single machine, tests) gets one temporary folder for each application. On a cluster that is
+    an error: executors would write to their own disks and read back less than was written.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    chosen = context._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = context.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="depframe-")
-        spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
@@ -33,17 +42,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/depframe/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back.
 
-    This cuts lineage: a lost executor costs only the tasks that were running, never the plan behind the table.
+    This cuts lineage: a lost executor costs only the tasks that were running, never the plan behind the table. Spark deletes the
+    shuffle files of the write when it ends. ``discard`` deletes the table once nothing reads it any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    if tidy:
-        spark.sparkContext._jvm.System.gc()  # lets the context cleaner delete the shuffle files of the plan just run
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffle_files_cleaned(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = [path]
+    return out
+
+
+@contextmanager
+def shuffle_files_cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside leaves no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote; nothing may read them afterwards. Other DataFrames are left alone."""
+    for t in tables:
+        for path in getattr(t, "_scratch", ()):
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
