@@ -10,15 +10,17 @@ Empty subsets agree for free and would put all small sets into one bucket, so th
 nothing as there are ``spare`` groups beyond what the argument needs: a pair is only at risk if both sets have more than
 ``spare`` groups with an empty subset, and such sets sign again under another dealing; in the last dealing empty subsets count.
 
-Copies: sets equal within a task sign once, and those equal across tasks are linked by their digest.
-
-Buckets: each set is first compared with one partner only, of those that are the most popular of some bucket (their buckets hold most
-rows) the one it meets most often; the original of a group of near copies is the most popular of all its buckets. Sets that this links
-are one component and need no further comparison among themselves. The distance to the partner serves on: it is a metric, so
-two sets whose distances to one partner differ by more than they may differ from each other are no pair. Then every pair of sets from different
-components that share a bucket is compared, exactly and without any cap. So a large group of near copies costs
-a few comparisons for each member, not one for each pair, and no link between components is lost. Before sets
-are fetched, the number of buckets a pair shares is held against the least that its two sizes allow, which is exact too.
+Signatures cross the network once; only those of buckets with two documents are written. Copies: sets equal within a task sign
+once, and those equal across tasks are linked by their digest.
+
+Buckets: pairs of a bucket are never formed. The centre of a bucket is its most popular set (whose buckets hold most
+rows); the original of a group of near copies is the centre of all its buckets. Each set is first compared with the centre it meets
+most often, and what this links is one component. In buckets that still hold several components every set is compared with the bucket's own centre
+c, which gives its difference A from c, the elements that only one of the two has. Two sets differ from each other in |A| + |B| - 2 |A and B| elements. So a
+pair that reaches the threshold, at least one of which is not linked with c, must share a large part of A and B: sets
+unrelated but for c, as independent edits of one text are, share next to none. The sets of one centre are joined on their
+elements of A by a prefix filter, elements that c lacks first, and only pairs found so are held against each other in full. This is
+exact and without any cap, and its cost follows the number of sets, not the square of a group.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depframe.llm.byte_hashing import PrefixHash, mix, slices, text_bytes
 from depframe.operators.components import connected_components
-from depframe.session import materialise
+from depframe.session import discard, materialise
 
 GROWTH = 1.5
 DEALINGS = 4
@@ -140,15 +142,12 @@ def own_band(size: int, num: int, den: int) -> tuple[int, tuple[Band, ...]]:
     return next(i for i, b in enumerate(family) if b.low <= size < b.high), family
 
 
-def signatures(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, int]:
-    """All signatures of a set, its band, and how many groups of the band's first dealing have an empty subset.
-
-    They are of its band and, where a partner may be smaller than the band, of the one below. The last byte of each tells band and dealing.
-    """
+def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """All signatures of a set: of its band and, where a partner may be smaller than the band, of the one below."""
     size = len(hashes)
     own, family = own_band(size, num, den)
     tags = [own] + [own - 1] * (own > 0 and num * size <= den * (family[own].low - 1))
-    content, out, empty = mix(hashes + np.uint64(11)), [], 0
+    content, out = mix(hashes + np.uint64(11)), []
     for tag in tags:
         b = family[tag]
         for dealing in range(DEALINGS):
@@ -162,148 +161,184 @@ def signatures(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int,
             for j in range(chosen.shape[1]):
                 total += mix(sums[:, chosen[:, j]] + np.uint64(j + 1)) * (counts[:, chosen[:, j]] > 0)
             name = np.arange(b.n1 * len(chosen), dtype=np.uint64).reshape(total.shape) + np.uint64((tag << 40) + (dealing << 32))
-            total = (mix(total ^ mix(name)) & ~np.uint64(255)) | np.uint64(tag * DEALINGS + dealing)
-            holes = int((~filled.all(1)).sum())
-            if tag == own and not dealing:
-                empty = holes
-            sure = holes <= b.spare
+            total = mix(total ^ mix(name))
+            sure = int((~filled.all(1)).sum()) <= b.spare
             out.append(total[filled] if sure or dealing < DEALINGS - 1 else total.ravel())
             if sure:
                 break
-    return np.concatenate(out), own, empty
+    return np.concatenate(out)
 
 
-SIGNED = "id long, n long, digest binary, band int, holes int, signatures array<long>"
+#: Rows of a signature (s, id) and of a document (s is arbitrary; id, n, digest).
+SIGNED = "s long, id long, n long, digest binary"
+_SIGNED = pa.schema([("s", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+BATCH_ROWS = 100_000
 
 
 def _sign(words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        row = 0
         for batch in batches:
-            rows: dict[str, list] = {"n": [], "digest": [], "band": [], "holes": [], "signatures": []}
-            for h, keyed in zip(shingle_hashes(batch.column("text"), words), batch.column("id").is_valid().to_pylist(), strict=True):
-                with np.errstate(over="ignore"):
-                    digest = np.array([mix(h).sum(dtype=np.uint64), mix(h + np.uint64(99)).sum(dtype=np.uint64), len(h)], np.uint64).tobytes()
-                    signed, band, holes = (None, None, None) if digest in seen or not len(h) or not keyed else signatures(h, num, den)
-                for name, x in zip(rows, (len(h), digest if len(h) else None, band, holes, None if signed is None else signed.view(np.int64)), strict=True):
-                    rows[name].append(x)
-                if keyed:
-                    seen.add(digest)
-            kinds = {"n": pa.int64(), "digest": pa.binary(), "band": pa.int32(), "holes": pa.int32(), "signatures": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id")} | {k: pa.array(rows[k], t) for k, t in kinds.items()})
+            ids, told, signs, owners, rows = batch.column("id"), [], [], [], 0
+            for i, (h, key) in enumerate(zip(shingle_hashes(batch.column("text"), words), ids.to_pylist(), strict=True)):
+                digest = None
+                if len(h):
+                    with np.errstate(over="ignore"):
+                        digest = np.array([mix(h).sum(dtype=np.uint64), mix(h + np.uint64(99)).sum(dtype=np.uint64), len(h)], np.uint64).tobytes()
+                        if key is not None and digest not in seen:
+                            seen.add(digest)
+                            signs.append(signatures(h, num, den).view(np.int64))
+                            owners.append(np.full(len(signs[-1]), key, np.int64))
+                            rows += len(signs[-1])
+                told.append((len(h), digest))
+                if rows >= BATCH_ROWS:
+                    yield _signature_rows(signs, owners)
+                    signs, owners, rows = [], [], 0
+            if rows:
+                yield _signature_rows(signs, owners)
+            # Documents are dealt out anywhere: by a number of their own.
+            with np.errstate(over="ignore"):
+                spread = mix(np.arange(row, row + len(told), dtype=np.uint64)).view(np.int64)
+            row += len(told)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), ids, pa.array([n for n, _ in told], pa.int64()), pa.array([d for _, d in told], pa.binary())], schema=_SIGNED)
 
     return run
 
 
-def _sets(words: int):
+def _signature_rows(signs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    s = pa.array(np.concatenate(signs))
+    return pa.RecordBatch.from_arrays([s, pa.array(np.concatenate(owners)), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.binary())], schema=_SIGNED)
+
+
+def _sets(words: int, others: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [h.view(np.int64) for h in shingle_hashes(batch.column("text"), words)]
-            for lo in range(0, len(sets), 500):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, 500), pa.array(sets[lo : lo + 500], pa.list_(pa.int64()))], ["id", "hashes"])
+            hashes, lo, size = [], 0, 0
+            for i, h in enumerate(shingle_hashes(batch.column("text"), words)):
+                hashes.append(h.view(np.int64))
+                size += len(h)
+                if size >= BATCH_ROWS or i + 1 == batch.num_rows:
+                    rows = batch.slice(lo, len(hashes))
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in others), pa.array(hashes, pa.list_(pa.int64()))], [*others, "hashes"])
+                    hashes, lo, size = [], i + 1, 0
 
     return run
 
 
-def compared(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The distinct ``pairs`` (a, b) with x and y, the sizes of their sets, and common."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, hashes array<long>")
-    sets = materialise(sets, "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialise(both.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("common")), "compared")
+def with_differences(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The distinct ``pairs`` (id, c) with n and nc, the sizes of their sets, and lacking and extra, the elements only c or only id has.
 
+    The sets of the c are few and travel once; those of the id go to their c.
+    """
+    many = pairs.groupBy("id").agg(F.collect_set("c").alias("cs"))
+    left = docs.join(many, "id").mapInArrow(_sets(words, ("id", "cs")), "id long, cs array<long>, hashes array<long>")
+    left = left.select("id", F.explode("cs").alias("c"), F.col("hashes").alias("x"))
+    wanted = pairs.select(F.col("c").alias("id")).distinct()
+    right = docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words, ("id",)), "id long, hashes array<long>")
+    both = left.join(right.select(F.col("id").alias("c"), F.col("hashes").alias("y")), "c")
+    both = both.select("id", "c", F.size("x").alias("n"), F.size("y").alias("nc"), F.array_except("y", "x").alias("lacking"), F.array_except("x", "y").alias("extra"))
+    return both.withColumn("away", F.size("lacking") + F.size("extra"))
 
-def _linked(done: DataFrame, num: int, den: int) -> DataFrame:
-    return done.where(den * F.col("common") >= num * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b").distinct()
 
+def _allowed(sizes: Column, num: int, den: int) -> Column:
+    """Most elements in which two linked sets of that many elements together differ."""
+    return F.floor(sizes * (den - num) / (den + num))
 
-def _ordered(a: str, b: str):
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def _linked(num: int, den: int) -> Column:
+    return (den + num) * F.col("away") <= (den - num) * (F.col("n") + F.col("nc"))
 
-def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, n, component) for every row: size of its shingle set and the least key that links reach, itself included.
 
-    Two documents link when den * |intersection| >= num * |union|. A null or empty text, or one of white space, has an empty set and
-    links with nothing, its component is its own key. Rows of one key are one document's; a null key has a null component and no
-    links. Repeated rows stay repeated; an empty table gives an empty table.
+def _prefixes(away: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (c, e, id, n, away, component, loose, right) of the elements that a partner must share one of.
+
+    ``loose`` rows are those of sets not linked with c, in the part of the prefix that a partner of any kind needs; ``right`` those that
+    an unlinked partner needs. With a = |A| and k(x, y) allowed: |A and B| >= (a + b - k(x, y)) / 2, and a > k(x, c) if x is not linked.
     """
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_sign(words, num, den), SIGNED), "signatures")
-    usable = signed.where("id is not null and digest is not null")
-    heads = usable.groupBy("digest").agg(F.min("id").alias("head"))
-    rows = usable.where("signatures is not null").select("id", F.explode("signatures").alias("s"))
-    again = materialise(rows.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated")
-    members = materialise(rows.join(again, "s").distinct(), "buckets")
-    copies = usable.join(heads, "digest").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    edges = materialise(copies, "copies")
-    known = docs.where("id is not null")
-    info = signed.where("id is not null and signatures is not null").groupBy("id")
-    info = materialise(info.agg(F.min("n").alias("n"), F.first("digest").alias("d"), F.min("band").alias("band"), F.max("holes").alias("holes")), "sizes")
-
-    popular = members.groupBy("id").agg(F.sum("rows").alias("popular"))
-    centre = members.join(popular, "id").groupBy("s").agg(F.max_by("id", F.struct("popular", -F.col("id"))).alias("c"))
-    members = members.drop("rows")
-    meets = members.join(centre, "s").where("id != c").groupBy("id", "c").agg(F.count("*").alias("k"))
-    first = materialise(meets.groupBy("id").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c")), "first")
-    star = compared(_open(first.select(*_ordered("id", "c")), info), known, words)
-    edges = materialise(edges.union(_linked(star, num, den)), "links")
-    away = first.select("id", "c", *_ordered("id", "c")).join(star, ["a", "b"]).groupBy("id", "c").agg(F.min(F.col("x") + F.col("y") - 2 * F.col("common")).alias("away"))
-    own = first.select(F.col("c").alias("id")).distinct().join(away, "id", "left_anti").select("id", F.col("id").alias("c"), F.lit(0).alias("away"))
-    info = materialise(info.join(away.unionByName(own), "id", "left"), "sizes")
-
-    labelled = _labelled(members, edges)
-    many = labelled.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("s")
-    mixed = materialise(labelled.join(many, "s").join(info.select("id", "n", "c", "away"), "id"), "mixed")
-    # The largest component of a bucket meets the others, and the others one another; its own members never meet.
-    sizes = mixed.groupBy("s", "component").agg(F.count("*").alias("k"))
-    hub = sizes.groupBy("s").agg(F.max(F.struct("k", "component")).alias("x")).select("s", F.col("x.component").alias("hub"))
-    rest = mixed.join(hub, "s").where("component != hub")
-    rest = rest.select("s", "hub", *(F.col(c).alias(p) for c, p in (("id", "p"), ("component", "cp"), ("n", "np"), ("c", "pivot"), ("away", "ap"))))
-    apart = (F.col("cp") != F.col("component")) & ((F.col("component") == F.col("hub")) | (F.col("p") < F.col("id")))
-    close = den * F.least("np", "n") >= num * F.greatest("np", "n")
-    far = (F.col("pivot") == F.col("c")) & (F.abs(F.col("ap") - F.col("away")) > F.floor((F.col("np") + F.col("n")) * (den - num) / (den + num)))
-    met = rest.join(mixed, "s").where(apart & close & ~F.coalesce(far, F.lit(False)))
-    shared = met.groupBy(*_ordered("p", "id"), F.col("s").bitwiseAND(255).alias("code")).agg(F.count("*").alias("k"))
-    pairs = materialise(_possible(shared, info, num, den), "pairs")
-    edges = edges.union(_linked(compared(pairs, known, words), num, den))
-    classes = connected_components(edges)
-    return signed.select("id", "n").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    p, q, a = den - num, den + num, F.col("away")
+    gap = F.floor((F.col("nc") - F.col("n")) * p / q)
+    farthest = F.floor((F.col("n") + F.floor(den * F.col("n") / num)) * p / q)
+    share = lambda least: F.greatest(F.lit(1), F.ceil(least / 2), a - farthest)
+    right = a - share(a + 1 + gap) + 1
+    left = F.when(_linked(num, den), 0).otherwise(a - share(a + 1 - F.floor((F.col("n") + F.col("nc") + 1) * p / q)) + 1)
+    rows = away.where("away > 0").withColumns({"r": right, "l": left})
+    ordered = F.concat(F.array_sort("extra"), F.array_sort("lacking"))
+    rows = rows.select("c", "id", "n", "away", "component", "r", "l", F.posexplode(F.slice(ordered, F.lit(1), F.greatest("r", "l").cast("int"))).alias("at", "e"))
+    return rows.select("c", "e", "at", "id", "n", "away", "component", (F.col("at") < F.col("l")).alias("loose"), (F.col("at") < F.col("r")).alias("right"))
+
+
+def _candidates(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, c): pairs of different components that share an element of their prefixes and whose sizes and distances fit.
+
+    What stands before the first shared element of A and B is not shared, so it is no more than the two may differ in.
+    """
+    kept = Window.partitionBy("c", "e")
+    shared = prefixes.withColumn("lo", F.min("component").over(kept)).withColumn("hi", F.max("component").over(kept)).where("lo != hi").drop("lo", "hi")
+    names = ("id", "n", "away", "component", "at")
+    x = shared.where("loose").select("c", "e", *(F.col(c).alias(f"{c}_x") for c in names))
+    y = shared.where("right").select("c", "e", *(F.col(c).alias(f"{c}_y") for c in names))
+    allowed = _allowed(F.col("n_x") + F.col("n_y"), num, den)
+    most = F.least(F.col("away_x") - F.col("at_x"), F.col("away_y") - F.col("at_y"))  # elements that can be shared
+    near = (F.col("at_x") + F.col("at_y") <= allowed) & (F.col("away_x") + F.col("away_y") - 2 * most <= allowed)
+    close = den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")
+    met = x.join(y, ["c", "e"]).where((F.col("component_x") != F.col("component_y")) & near & close)
+    return met.select(F.greatest("id_x", "id_y").alias("id"), F.least("id_x", "id_y").alias("c")).distinct()
 
 
-def _both(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """``pairs`` with the columns of ``info`` for both ends, suffixed _a and _b."""
-    for end in "ab":
-        pairs = pairs.join(info.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "d", "band", "holes"))), end)
-    return pairs
+def _edges(rows: DataFrame, num: int, den: int) -> DataFrame:
+    return rows.where(_linked(num, den)).select(F.col("id").alias("a"), F.col("c").alias("b"))
 
 
-def _open(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """``pairs`` whose sets are not known to be equal already."""
-    return materialise(_both(pairs.distinct(), info).where("d_a != d_b").select("a", "b").distinct(), "first-pairs")
+def _mixed(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``members`` of the buckets that hold several components, with the component that the links so far give."""
+    classes = connected_components(edges).withColumnRenamed("node", "id")
+    named = members.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    bucket = Window.partitionBy("s")
+    named = named.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
+    mixed = materialise(named.where("lo != hi").drop("lo", "hi"), "mixed")
+    discard(classes)
+    return mixed
 
 
-def _possible(shared: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``shared`` (a, b, code, k buckets of that code) whose sizes allow no more buckets than they share.
+def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, n, component) for every row: size of its shingle set and the least key that links reach, itself included.
 
-    Sets of sizes x and y that reach the threshold differ in at most (x + y)(den - num) / (den + num) elements, so all but
-    that many groups of the smaller one's band agree, and only those with a hole can do so without a bucket.
+    Two documents link when den * |intersection| >= num * |union|. A null or empty text, or one of white space, has an empty set and
+    links with nothing, its component is its own key. Rows of one key are one document's; a null key has a null component and no
+    links. Repeated rows stay repeated; an empty table gives an empty table. Other columns of ``df`` play no part, whatever their names.
     """
-    family = bands(num, den, 1 << 40)
-    groups, step = F.array(*(F.lit(b.n1).cast("long") for b in family)), F.array(*(F.lit(b.k2 + 1).cast("long") for b in family))
-    smaller = F.when(F.col("n_a") <= F.col("n_b"), F.struct(F.col("band_a").alias("band"), F.col("holes_a").alias("holes")))
-    smaller = smaller.otherwise(F.struct(F.col("band_b").alias("band"), F.col("holes_b").alias("holes")))
-    rows = _both(shared, info).withColumn("small", smaller)
-    differ = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
-    least = F.get(groups, F.col("small.band")) - F.floor(differ / F.get(step, F.col("small.band"))) - F.col("small.holes")
-    enough = (F.col("code") == F.col("small.band") * DEALINGS) & (F.col("k") >= least)
-    close = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
-    return rows.where(close & (enough | (least <= 0))).select("a", "b").distinct()
-
-
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """``members`` with the component that the links so far give."""
-    classes = connected_components(edges).withColumnRenamed("node", "id")
-    return materialise(members.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    signed = docs.mapInArrow(_sign(words, num, den), SIGNED)
+    bucket = Window.partitionBy("s")
+    met = signed.withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket))
+    signed = materialise(met.where("n is not null or lo != hi").drop("lo", "hi"), "signatures")
+    rows = signed.where("n is not null").select("id", "n", "digest")
+    usable = rows.where("id is not null and digest is not null")
+    heads = usable.groupBy("digest").agg(F.min("id").alias("head"))
+    edges = materialise(usable.join(heads, "digest").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "copies")
+
+    members = signed.where("n is null").select("s", "id")
+    crowd = members.withColumn("k", F.count("*").over(bucket)).withColumn("popular", F.sum("k").over(Window.partitionBy("id")))
+    centre = F.first("id").over(bucket.orderBy(F.desc("popular"), "id"))
+    members = materialise(crowd.select("s", "id", centre.alias("c")), "buckets")
+    known = materialise(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    meets = members.where("id != c").repartition("id").groupBy("id", "c").agg(F.count("*").alias("k"))
+    first = materialise(meets.groupBy("id").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c")), "first")
+    star = materialise(with_differences(first, known, words).select("id", "c", "n", "nc", "away"), "star")
+    edges = materialise(edges.union(_edges(star, num, den)).distinct(), "links")
+
+    mixed = _mixed(members, edges)
+    discard(members, first, star)
+    pairs = mixed.where("id != c").select("id", "c", "component").distinct()
+    away = materialise(with_differences(pairs.select("id", "c"), known, words).join(pairs, ["id", "c"]), "differences")
+    edges = materialise(edges.union(_edges(away, num, den)).distinct(), "links")
+    discard(mixed)
+    classes = connected_components(edges)
+    away_now = away.drop("component").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = materialise(_candidates(_prefixes(away_now, num, den), num, den), "candidates")
+    discard(away, classes)
+    compared = materialise(with_differences(found, known, words).select("id", "c", "n", "nc", "away"), "compared")
+    classes = connected_components(edges.union(_edges(compared, num, den)))
+    discard(known, found, compared, edges)
+    return rows.select("id", "n").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
