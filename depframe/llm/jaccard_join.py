@@ -19,7 +19,8 @@ most often, and what this links is one component. In buckets that still hold sev
 c, which gives its difference A from c, the elements that only one of the two has. Two sets differ from each other in |A| + |B| - 2 |A and B| elements. So a
 pair that reaches the threshold, at least one of which is not linked with c, must share a large part of A and B: sets
 unrelated but for c, as independent edits of one text are, share next to none. The sets of one centre are joined on their
-elements of A by a prefix filter, elements that c lacks first, and only pairs found so are held against each other in full. This is
+elements of A by a prefix filter, elements that c lacks first, and what they share of those bounds the rest; only pairs that may still reach the
+threshold are held against each other in full. This is
 exact and without any cap, and its cost follows the number of sets, not the square of a group.
 """
 
@@ -227,17 +228,20 @@ def _sets(words: int, others: tuple[str, ...]):
 
 
 def with_differences(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The distinct ``pairs`` (id, c) with n and nc, the sizes of their sets, and lacking and extra, the elements only c or only id has.
+    """The distinct ``pairs`` (id, c, and columns that hang on id) with n and nc, the sizes of their sets, away, in how many elements they
+    differ, and lacking and extra, the elements only c or only id has.
 
     The sets of the c are few and travel once; those of the id go to their c.
     """
-    many = pairs.groupBy("id").agg(F.collect_set("c").alias("cs"))
-    left = docs.join(many, "id").mapInArrow(_sets(words, ("id", "cs")), "id long, cs array<long>, hashes array<long>")
-    left = left.select("id", F.explode("cs").alias("c"), F.col("hashes").alias("x"))
+    more = [c for c in pairs.columns if c not in ("id", "c")]
+    kinds = "".join(f", `{n}` {t}" for n, t in pairs.select(*more).dtypes)
+    many = pairs.groupBy("id", *more).agg(F.collect_set("c").alias("cs"))
+    left = docs.join(many, "id").mapInArrow(_sets(words, ("id", "cs", *more)), f"id long, cs array<long>{kinds}, hashes array<long>")
+    left = left.select("id", *more, F.explode("cs").alias("c"), F.col("hashes").alias("x"))
     wanted = pairs.select(F.col("c").alias("id")).distinct()
     right = docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words, ("id",)), "id long, hashes array<long>")
     both = left.join(right.select(F.col("id").alias("c"), F.col("hashes").alias("y")), "c")
-    both = both.select("id", "c", F.size("x").alias("n"), F.size("y").alias("nc"), F.array_except("y", "x").alias("lacking"), F.array_except("x", "y").alias("extra"))
+    both = both.select("id", *more, "c", F.size("x").alias("n"), F.size("y").alias("nc"), F.array_except("y", "x").alias("lacking"), F.array_except("x", "y").alias("extra"))
     return both.withColumn("away", F.size("lacking") + F.size("extra"))
 
 
@@ -250,40 +254,55 @@ def _linked(num: int, den: int) -> Column:
     return (den + num) * F.col("away") <= (den - num) * (F.col("n") + F.col("nc"))
 
 
-def _prefixes(away: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (c, e, id, n, away, component, loose, right) of the elements that a partner must share one of.
+def _with_prefix(away: DataFrame, num: int, den: int) -> DataFrame:
+    """``away`` with prefix, the first elements of A, of which a partner must share one, in place of lacking and extra.
 
-    ``loose`` rows are those of sets not linked with c, in the part of the prefix that a partner of any kind needs; ``right`` those that
-    an unlinked partner needs. With a = |A| and k(x, y) allowed: |A and B| >= (a + b - k(x, y)) / 2, and a > k(x, c) if x is not linked.
+    Of the prefix, the first ``loose`` are what a partner of any kind needs of a set not linked with c (0 for others), the first ``right`` what an
+    unlinked partner needs. With a = |A| and k(x, y) allowed: |A and B| >= (a + b - k(x, y)) / 2, and a > k(x, c) if x is not linked.
+    ``lack`` and ``more`` are the sizes of lacking and extra; extra elements come first.
     """
     p, q, a = den - num, den + num, F.col("away")
     gap = F.floor((F.col("nc") - F.col("n")) * p / q)
     farthest = F.floor((F.col("n") + F.floor(den * F.col("n") / num)) * p / q)
     share = lambda least: F.greatest(F.lit(1), F.ceil(least / 2), a - farthest)
     right = a - share(a + 1 + gap) + 1
-    left = F.when(_linked(num, den), 0).otherwise(a - share(a + 1 - F.floor((F.col("n") + F.col("nc") + 1) * p / q)) + 1)
-    rows = away.where("away > 0").withColumns({"r": right, "l": left})
-    ordered = F.concat(F.array_sort("extra"), F.array_sort("lacking"))
-    rows = rows.select("c", "id", "n", "away", "component", "r", "l", F.posexplode(F.slice(ordered, F.lit(1), F.greatest("r", "l").cast("int"))).alias("at", "e"))
-    return rows.select("c", "e", "at", "id", "n", "away", "component", (F.col("at") < F.col("l")).alias("loose"), (F.col("at") < F.col("r")).alias("right"))
+    loose = F.when(_linked(num, den), 0).otherwise(a - share(a + 1 - F.floor((F.col("n") + F.col("nc") + 1) * p / q)) + 1)
+    rows = away.withColumns({"right": right.cast("int"), "loose": loose.cast("int")})
+    first = F.slice(F.concat(F.array_sort("extra"), F.array_sort("lacking")), F.lit(1), F.greatest("right", "loose", F.lit(0)))
+    return rows.withColumns({"prefix": first, "lack": F.size("lacking"), "more": F.size("extra")}).drop("lacking", "extra")
 
 
-def _candidates(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, c): pairs of different components that share an element of their prefixes and whose sizes and distances fit.
+def _candidates(away: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, c, pivot): pairs of different components that share an element of their prefixes and whose sizes and distances fit.
 
     What stands before the first shared element of A and B is not shared, so it is no more than the two may differ in.
     """
+    rows = away.where("away > 0").select("c", "id", "n", "away", "component", "right", "loose", F.posexplode("prefix").alias("at", "e"))
     kept = Window.partitionBy("c", "e")
-    shared = prefixes.withColumn("lo", F.min("component").over(kept)).withColumn("hi", F.max("component").over(kept)).where("lo != hi").drop("lo", "hi")
+    shared = rows.withColumn("lo", F.min("component").over(kept)).withColumn("hi", F.max("component").over(kept)).where("lo != hi").drop("lo", "hi")
     names = ("id", "n", "away", "component", "at")
-    x = shared.where("loose").select("c", "e", *(F.col(c).alias(f"{c}_x") for c in names))
-    y = shared.where("right").select("c", "e", *(F.col(c).alias(f"{c}_y") for c in names))
+    x = shared.where("at < loose").select("c", "e", *(F.col(c).alias(f"{c}_x") for c in names))
+    y = shared.where("at < right").select("c", "e", *(F.col(c).alias(f"{c}_y") for c in names))
     allowed = _allowed(F.col("n_x") + F.col("n_y"), num, den)
     most = F.least(F.col("away_x") - F.col("at_x"), F.col("away_y") - F.col("at_y"))  # elements that can be shared
     near = (F.col("at_x") + F.col("at_y") <= allowed) & (F.col("away_x") + F.col("away_y") - 2 * most <= allowed)
     close = den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")
     met = x.join(y, ["c", "e"]).where((F.col("component_x") != F.col("component_y")) & near & close)
-    return met.select(F.greatest("id_x", "id_y").alias("id"), F.least("id_x", "id_y").alias("c")).distinct()
+    return met.groupBy(F.greatest("id_x", "id_y").alias("id"), F.least("id_x", "id_y").alias("partner")).agg(F.min("c").alias("pivot")).withColumnRenamed("partner", "c")
+
+
+def _possible(pairs: DataFrame, away: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (id, c, pivot) that may reach the threshold by the elements that their prefixes share.
+
+    Shared elements are lacking ones, no more than the fewer of the two, extra ones in both prefixes, and extra ones beyond a prefix.
+    """
+    for end, side in (("id", "x"), ("c", "y")):
+        extra = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.col("more")))
+        own = away.select(F.col("id").alias(end), F.col("c").alias("pivot"), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "away", "lack", "more")), extra.alias(f"extra_{side}"))
+        pairs = pairs.join(own, [end, "pivot"])
+    beyond = F.greatest(F.col("more_x") - F.size("extra_x"), F.col("more_y") - F.size("extra_y"))
+    most = F.size(F.array_intersect("extra_x", "extra_y")) + F.least("lack_x", "lack_y") + beyond
+    return pairs.where(F.col("away_x") + F.col("away_y") - 2 * most <= _allowed(F.col("n_x") + F.col("n_y"), num, den)).select("id", "c").distinct()
 
 
 def _edges(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -331,13 +350,12 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     mixed = _mixed(members, edges)
     discard(members, first, star)
     pairs = mixed.where("id != c").select("id", "c", "component").distinct()
-    away = materialise(with_differences(pairs.select("id", "c"), known, words).join(pairs, ["id", "c"]), "differences")
+    away = materialise(_with_prefix(with_differences(pairs, known, words), num, den), "differences")
     edges = materialise(edges.union(_edges(away, num, den)).distinct(), "links")
     discard(mixed)
-    classes = connected_components(edges)
-    away_now = away.drop("component").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    found = materialise(_candidates(_prefixes(away_now, num, den), num, den), "candidates")
-    discard(away, classes)
+    near = materialise(_candidates(away, num, den), "candidates")
+    found = materialise(_possible(near, away, num, den), "possible")
+    discard(away, near)
     compared = materialise(with_differences(found, known, words).select("id", "c", "n", "nc", "away"), "compared")
     classes = connected_components(edges.union(_edges(compared, num, den)))
     discard(known, found, compared, edges)
