@@ -7,7 +7,8 @@ so the folder's archives are always whole and none counts twice.
 Reading: the data source ``media_archive`` lists archives (not members), cuts each into byte ranges and
 makes a Spark partition of every range. A task reads the archive's own directory, takes the members whose header
 lies in its range, and streams them in Arrow batches. A member that fails is opened anew at its
-offset, by itself, up to ``retries`` times; one that keeps failing gives a row with ``error`` set.
+offset, by itself, up to ``retries`` times; one that keeps failing gives a row with ``error`` set. So does, once, an archive whose directory
+cannot be read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from depframe.session import materialise, scratch_path
+from depframe.session import discard, materialise, scratch_path
 
 WIDTH = 64
 #: Fixed value. First bytes of a PNG file.
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BATCH_BYTES = 8 << 20
+#: What a damaged or unreachable archive raises; pyarrow's own errors are among the first two.
+FAULTS = (OSError, ValueError, zlib.error, zipfile.BadZipFile, struct.error)
 SCHEMA = "member string, offset long, key long, n_bytes long, width int, height int, media binary, payload binary, feature string, error string"
 
 
@@ -93,21 +97,24 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        store, path = fs.FileSystem.from_uri(folder)
-        own = f"{path}/_{uuid.uuid4().hex}"
-        n, size = 0, 0
-        with store.open_output_stream(own) as out, zipfile.ZipFile(_Sink(out), "w", zipfile.ZIP_STORED) as archive:
+        part, n, size = TaskContext.get().partitionId(), 0, 0
+        with ExitStack() as opened:
+            archive = None
             for batch in batches:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if archive is None:  # a task without rows writes no archive
+                        store, path = fs.FileSystem.from_uri(folder)
+                        own = f"{path}/_{uuid.uuid4().hex}"
+                        archive = opened.enter_context(zipfile.ZipFile(_Sink(opened.enter_context(store.open_output_stream(own))), "w", zipfile.ZIP_STORED))
                     data = b"" if not text.is_valid else text.as_buffer().to_pybytes()
                     info = zipfile.ZipInfo(f"{n}.png")
                     info.comment = json.dumps({"key": key, "n": len(data)}).encode()
                     media = to_png(padded(data))
                     archive.writestr(info, media)
                     n, size = n + 1, size + len(media)
-        store.move(own, f"{path}/part-{part:06d}.zip")
-        yield pa.RecordBatch.from_pylist([{"archive": f"part-{part:06d}.zip", "members": n, "media_bytes": size}])
+        if n:
+            store.move(own, f"{path}/part-{part:06d}.zip")
+            yield pa.RecordBatch.from_pylist([{"archive": f"part-{part:06d}.zip", "members": n, "media_bytes": size}])
 
     return run
 
@@ -131,7 +138,7 @@ def write_archives(df: DataFrame, key: str = "doc_id", text: str = "text") -> st
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path)
     rows = df.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    materialise(rows.mapInArrow(_write(folder), "archive string, members long, media_bytes long"), "manifest")
+    discard(materialise(rows.mapInArrow(_write(folder), "archive string, members long, media_bytes long"), "manifest"))
     return folder
 
 
@@ -155,10 +162,14 @@ class ArchiveReader(DataSourceReader):
         if not partition.archive:
             return
         store, _ = fs.FileSystem.from_uri(self.folder)
-        with store.open_input_file(partition.archive) as file, zipfile.ZipFile(file) as archive:
-            members = sorted(archive.infolist(), key=lambda i: i.header_offset)
+        with ExitStack() as opened:
+            archive, error = self.opened(store, partition.archive, opened)
+            if archive is None:
+                if partition.start == 0:  # one row tells of the archive
+                    yield _batch([{"member": partition.archive, "offset": 0, "error": error}])
+                return
             rows, size = [], 0
-            for info in members:
+            for info in sorted(archive.infolist(), key=lambda i: i.header_offset):
                 if partition.start <= info.header_offset < partition.end:
                     row = self.member(store, partition.archive, archive, info)
                     rows.append(row)
@@ -169,6 +180,16 @@ class ArchiveReader(DataSourceReader):
             if rows:
                 yield _batch(rows)
 
+    def opened(self, store: fs.FileSystem, path: str, stack: ExitStack) -> tuple[zipfile.ZipFile | None, str]:
+        """The archive with its directory read, tried anew like a member; or none and the last error."""
+        error = ""
+        for _ in range(self.retries + 1):
+            try:
+                return stack.enter_context(zipfile.ZipFile(stack.enter_context(store.open_input_file(path)))), ""
+            except FAULTS as e:
+                error = f"{type(e).__name__}: {e}"
+        return None, error
+
     def member(self, store: fs.FileSystem, path: str, archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> dict:
         """One member's row. After a failure the archive is opened anew and read at this member's offset only."""
         told = json.loads(info.comment or b"{}")
@@ -183,7 +204,7 @@ class ArchiveReader(DataSourceReader):
                         media = fresh.read(info)
                 samples = from_png(media)
                 return row | {"width": samples.shape[1], "height": samples.shape[0], "media": media, "payload": samples.tobytes(), "feature": feature(samples), "error": None}
-            except (OSError, ValueError, zlib.error, zipfile.BadZipFile, struct.error) as e:
+            except FAULTS as e:
                 error = f"{type(e).__name__}: {e}"
         return row | {"width": None, "height": None, "media": None, "payload": None, "feature": None, "error": error}
 
@@ -216,6 +237,6 @@ def read_archives(spark: SparkSession, folder: str, **options: object) -> DataFr
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``df``: key, n_bytes and what was read back: media, payload, width, height, feature, error.
 
-    An empty table gives no rows. Other columns of ``df`` are not stored.
+    An empty table, and one of empty partitions alone, gives no rows. Other columns of ``df`` are not stored.
     """
     return read_archives(df.sparkSession, write_archives(df, key, text))

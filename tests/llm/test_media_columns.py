@@ -56,3 +56,15 @@ def test_a_damaged_member_fails_alone(spark, monkeypatch):
 
 def test_samples():
     assert (from_png(to_png(bytes(range(64)) * 3)) == np.arange(64)).all()
+
+
+def test_empty_partitions(spark):
+    df = spark.createDataFrame([(1, "one")], "doc_id long, text string")
+    assert [r["key"] for r in media_columns(df.repartition(4)).collect()] == [1]
+    assert media_columns(df.where("doc_id > 5")).collect() == []
+
+
+def test_an_unreadable_archive_gives_one_row(spark, tmp_path):
+    (tmp_path / "part-000000.zip").write_bytes(b"no archive " * 50)
+    (row,) = read_archives(spark, f"file://{tmp_path}", range_bytes=100).collect()
+    assert row["error"] and row["payload"] is None
