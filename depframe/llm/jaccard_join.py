@@ -170,9 +170,9 @@ def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-#: Rows of a signature (s, id) and of a document (s is arbitrary; id, n, digest).
-SIGNED = "s long, id long, n long, digest binary"
-_SIGNED = pa.schema([("s", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+#: Rows of a signature (s, id) and of a document (s is arbitrary; id, n, digest, and whether this row has signatures).
+SIGNED = "s long, id long, n long, digest binary, signs boolean"
+_SIGNED = pa.schema([("s", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("signs", pa.bool_())])
 BATCH_ROWS = 100_000
 
 
@@ -182,17 +182,18 @@ def _sign(words: int, num: int, den: int):
         row = 0
         for batch in batches:
             ids, told, signs, owners, rows = batch.column("id"), [], [], [], 0
-            for i, (h, key) in enumerate(zip(shingle_hashes(batch.column("text"), words), ids.to_pylist(), strict=True)):
-                digest = None
+            for h, key in zip(shingle_hashes(batch.column("text"), words), ids.to_pylist(), strict=True):
+                digest, first = None, False
                 if len(h):
                     with np.errstate(over="ignore"):
                         digest = np.array([mix(h).sum(dtype=np.uint64), mix(h + np.uint64(99)).sum(dtype=np.uint64), len(h)], np.uint64).tobytes()
-                        if key is not None and digest not in seen:
+                        first = key is not None and digest not in seen
+                        if first:
                             seen.add(digest)
                             signs.append(signatures(h, num, den).view(np.int64))
                             owners.append(np.full(len(signs[-1]), key, np.int64))
                             rows += len(signs[-1])
-                told.append((len(h), digest))
+                told.append((len(h), digest, first))
                 if rows >= BATCH_ROWS:
                     yield _signature_rows(signs, owners)
                     signs, owners, rows = [], [], 0
@@ -202,14 +203,15 @@ def _sign(words: int, num: int, den: int):
             with np.errstate(over="ignore"):
                 spread = mix(np.arange(row, row + len(told), dtype=np.uint64)).view(np.int64)
             row += len(told)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), ids, pa.array([n for n, _ in told], pa.int64()), pa.array([d for _, d in told], pa.binary())], schema=_SIGNED)
+            made = [pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([pa.array(spread), ids, *made], schema=_SIGNED)
 
     return run
 
 
 def _signature_rows(signs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
     s = pa.array(np.concatenate(signs))
-    return pa.RecordBatch.from_arrays([s, pa.array(np.concatenate(owners)), pa.nulls(len(s), pa.int64()), pa.nulls(len(s), pa.binary())], schema=_SIGNED)
+    return pa.RecordBatch.from_arrays([s, pa.array(np.concatenate(owners)), *(pa.nulls(len(s), k) for k in _SIGNED.types[2:])], schema=_SIGNED)
 
 
 def _sets(words: int, others: tuple[str, ...]):
@@ -332,15 +334,17 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     bucket = Window.partitionBy("s")
     met = signed.withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket))
     signed = materialise(met.where("n is not null or lo != hi").drop("lo", "hi"), "signatures")
-    rows = signed.where("n is not null").select("id", "n", "digest")
+    rows = signed.where("n is not null").select("id", "n", "digest", "signs")
     usable = rows.where("id is not null and digest is not null")
-    heads = usable.groupBy("digest").agg(F.min("id").alias("head"))
+    heads = usable.groupBy("digest").agg(F.min(F.when(F.col("signs"), F.col("id"))).alias("head"))
+    heads = materialise(heads, "heads")
     edges = materialise(usable.join(heads, "digest").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "copies")
 
-    members = signed.where("n is null").select("s", "id")
+    members = signed.where("n is null").select("s", "id").join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi")
     crowd = members.withColumn("k", F.count("*").over(bucket)).withColumn("popular", F.sum("k").over(Window.partitionBy("id")))
-    centre = F.first("id").over(bucket.orderBy(F.desc("popular"), "id"))
-    members = materialise(crowd.select("s", "id", centre.alias("c")), "buckets")
+    centre = crowd.withColumns({"c": F.first("id").over(bucket.orderBy(F.desc("popular"), "id")), "lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket)})
+    members = materialise(centre.where("lo != hi").select("s", "id", "c"), "buckets")
+    discard(heads)
     known = materialise(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     meets = members.where("id != c").repartition("id").groupBy("id", "c").agg(F.count("*").alias("k"))
     first = materialise(meets.groupBy("id").agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c")), "first")
