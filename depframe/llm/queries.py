@@ -51,17 +51,7 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of what they decode to; ids_sha256 is of their decimal numbers joined by blanks."""
     model = sentence_pieces.PieceModel.load(vocabulary("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = sentence_pieces.encode_column(docs, model)
-    decoded = sentence_pieces.decode_column(encoded, model)
-    first, last = min(i for i in model.byte_ids if i >= 0), max(model.byte_ids)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        F.size(F.filter("ids", lambda i: (i >= first) & (i <= last))).cast("long").alias("n_byte_ids"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    return sentence_pieces.digest_columns(docs, model).select("doc_id", "n_ids", "n_byte_ids", "ids_sha256", "decoded_sha256", "round_trip")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

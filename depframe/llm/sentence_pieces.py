@@ -5,16 +5,18 @@ of node n by byte b is at base[n] + b, and check says whose child it is. The bes
 the piece that begins earliest. A character that no piece covers costs the least score less ``UNKNOWN_PENALTY`` and becomes byte pieces.
 
 Pieces hold the white-space marker at their beginning only, so a text's best path is made of the best paths
-of its marker-led chunks, and each distinct chunk is searched once. Texts are worked on in Arrow batches;
-a worker keeps its dictionary of chunks, up to ``MAX_CHUNKS``, between tasks.
+of its marker-led chunks, and each distinct chunk is searched once. Texts are worked on one by one, long ones in blocks of
+``BLOCK_CHUNKS`` chunks, so a worker holds little beside the model and its dictionary of chunks, which is bounded in bytes
+(``KNOWN_BYTES``) and outlives tasks. The dictionary keeps ids as decimal text, from which arrays, digests and decoded texts are made.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
-from array import array
-from collections.abc import Iterator
+from itertools import islice
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +25,10 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MAX_CHUNKS = 500_000
+#: Bounds of memory; neither changes a result.
+KNOWN_BYTES, BLOCK_CHUNKS, BATCH_IDS = 64 << 20, 50_000, 2_000_000
+#: What an entry of the dictionary takes beside its characters, about.
+ENTRY_BYTES = 250
 #: Fixed values. Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
@@ -106,7 +111,10 @@ class PieceModel:
     name: str
     chunk: str
     _known: dict = field(default_factory=dict, repr=False)
+    _size: int = 0
     _lists: list = field(default_factory=list, repr=False)
+    _written: dict = field(default_factory=dict, repr=False)
+    _bytes: frozenset | None = field(default=None, repr=False)
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -196,31 +204,66 @@ class PieceModel:
             at = s
         return ids[::-1]
 
-    def encode(self, text: str | None) -> array:
-        """Ids of a whole text; null counts as empty and has none."""
-        ids = array("i")
-        for chunk in re.findall(self.chunk, self.normalised(text or "")):
-            known = self._known.get(chunk)
-            if known is None:
-                if len(self._known) > MAX_CHUNKS:
-                    self._known.clear()
-                known = self._known[chunk] = array("i", self.best_path(chunk.encode()))
-            ids.extend(known)
-        return ids
+    def blocks(self, text: str | None) -> Iterator[str]:
+        """The ids of a text in decimal, joined by blanks, some thousands of chunks at a time; null counts as empty and has none."""
+        chunks = (m[0] for m in re.finditer(self.chunk, self.normalised(text or "")))
+        known = self._known
+        while block := list(islice(chunks, BLOCK_CHUNKS)):
+            for chunk in set(block) - known.keys():
+                if self._size > KNOWN_BYTES:
+                    self._size = 0
+                    known.clear()
+                    known.update((c, self._search(c)) for c in set(block))
+                    break
+                known[chunk] = self._search(chunk)
+            yield " ".join(map(known.__getitem__, block))
+
+    def _search(self, chunk: str) -> str:
+        found = " ".join(map(str, self.best_path(chunk.encode())))
+        self._size += len(chunk) + len(found) + ENTRY_BYTES
+        return found
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text."""
+        parts = [np.array(b.split(" "), np.int32) for b in self.blocks(text)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+    @property
+    def written(self) -> dict[str, bytes]:
+        """What each id, in decimal, decodes to before markers become blanks."""
+        if not self._written:
+            for i, (piece, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)):
+                byte = bytes([int(piece[3:5], 16)]) if kind == BYTE else b""
+                self._written[str(i)] = {BYTE: byte, UNKNOWN: " ⁇ ".encode(), CONTROL: b""}.get(kind, piece.encode())
+        return self._written
+
+    def decoded_block(self, ids: Iterable[str], first: bool) -> str:
+        text = b"".join(map(self.written.__getitem__, ids)).decode(errors="replace").replace(MARK, " ")
+        return text[1:] if first and self.dummy_prefix and text.startswith(" ") else text
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are put together, markers become blanks, the dummy prefix goes, control pieces are silent."""
-        out = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif kind == UNKNOWN:
-                out.extend(" ⁇ ".encode())
-            elif kind != CONTROL:
-                out.extend(self.pieces[i].encode())
-        text = out.decode(errors="replace").replace(MARK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.decoded_block(map(str, ids), True)
+
+    def digests(self, text: str | None) -> tuple[int, int, str, str, bool]:
+        """Of one text: its ids, byte pieces among them, SHA-256 of the ids in decimal joined by blanks and of what they decode to, and whether that is the text."""
+        text = text or ""
+        said, read, n, n_bytes, at, same = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True
+        for i, block in enumerate(self.blocks(text)):
+            ids = block.split(" ")
+            n, n_bytes = n + len(ids), n_bytes + sum(map(self._byte_names.__contains__, ids))
+            said.update((" " * (i > 0) + block).encode())
+            back = self.decoded_block(ids, i == 0)
+            same = same and text.startswith(back, at)
+            at += len(back)
+            read.update(back.encode())
+        return n, n_bytes, said.hexdigest(), read.hexdigest(), same and at == len(text)
+
+    @property
+    def _byte_names(self) -> frozenset[str]:
+        if self._bytes is None:
+            self._bytes = frozenset(str(i) for i in self.byte_ids if i >= 0)
+        return self._bytes
 
 
 _models: dict[str, PieceModel] = {}
@@ -231,25 +274,56 @@ def _local(model: PieceModel) -> PieceModel:
     return _models.setdefault(model.name, model)
 
 
-def _appended(df: DataFrame, model: PieceModel, column: str, make, fields: str, name: str) -> DataFrame:
-    keep = [c for c in df.columns if c != name]
+def _appended(df: DataFrame, model: PieceModel, column: str, make, fields: list[str]) -> DataFrame:
+    """``df`` with the columns ``fields``; ``make`` yields one tuple of them, or one value, with its size for each value of ``column``."""
+    names = [f.split("`")[1] for f in fields]
+    keep = [c for c in df.columns if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary: about 2 MB
+    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keep).dtypes] + fields)
+    made_of = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    kinds = [made_of[f.split("` ")[1]] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _local(shared.value)
         for batch in batches:
-            made = make(m, batch.column(column))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {name: made})
+            rows, size, lo = [], 0, 0
+            for i, value in enumerate(batch.column(column)):
+                row, cost = make(m, value)
+                rows.append(row)
+                size += cost
+                if size >= BATCH_IDS or i + 1 == batch.num_rows:
+                    part = batch.slice(lo, len(rows))
+                    new = {n: pa.array([r[j] for r in rows], k) for j, (n, k) in enumerate(zip(names, kinds, strict=True))}
+                    yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | new)
+                    rows, size, lo = [], 0, i + 1
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keep).dtypes] + [fields])
     return df.mapInArrow(run, schema)
 
 
 def encode_column(df: DataFrame, model: PieceModel, text: str = "text", name: str = "ids") -> DataFrame:
     """``df`` with ``name``, the ids of each whole text. Null and empty texts have no ids; a column ``name`` is replaced (``text`` must be another)."""
-    return _appended(df, model, text, lambda m, c: pa.array([m.encode(t) for t in c.to_pylist()], pa.list_(pa.int32())), f"`{name}` array<int>", name)
+
+    def make(m: PieceModel, value: pa.Scalar) -> tuple:
+        ids = m.encode(value.as_py())
+        return (ids,), len(ids)
+
+    return _appended(df, model, text, make, [f"`{name}` array<int>"])
 
 
 def decode_column(df: DataFrame, model: PieceModel, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``df`` with ``name``, the text of each list of ids; null counts as none and gives the empty text."""
-    return _appended(df, model, ids, lambda m, c: pa.array([m.decode(x or []) for x in c.to_pylist()], pa.string()), f"`{name}` string", name)
+
+    def make(m: PieceModel, value: pa.Scalar) -> tuple:
+        found = value.values.to_numpy(zero_copy_only=False) if value.is_valid else ()
+        return (m.decode(found),), len(found)
+
+    return _appended(df, model, ids, make, [f"`{name}` string"])
+
+
+def digest_columns(df: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
+    """``df`` with n_ids, n_byte_ids, ids_sha256 (decimal, joined by blanks), decoded_sha256 and round_trip of each whole text, encoded and decoded in one pass.
+
+    Null and empty texts have no ids and decode to the empty text. Columns of the new names are replaced.
+    """
+    fields = ["`n_ids` long", "`n_byte_ids` long", "`ids_sha256` string", "`decoded_sha256` string", "`round_trip` boolean"]
+    return _appended(df, model, text, lambda m, value: (m.digests(value.as_py()), 1), fields)

@@ -4,7 +4,7 @@ from itertools import product
 import public_tokenizers
 import sentencepiece
 
-from depframe.llm.sentence_pieces import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, PieceModel, _fields, decode_column, double_array, encode_column
+from depframe.llm.sentence_pieces import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, PieceModel, _fields, decode_column, digest_columns, double_array, encode_column
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [None, "", " ", "a", "Hello world", "  two  blanks ", "line\nbreak\n\n x", "été 漢字 \U0001f600 ß", "tab\tand  ", "don't STOP!! ###", "x" * 300, "\x00\x7f"]
@@ -133,3 +133,28 @@ def test_double_array():
             node = child
         assert value[node] == i
     assert (value >= 0).sum() == len(words)
+
+
+def test_digests_are_those_of_ids_and_texts(spark, monkeypatch):
+    """Small blocks and a dictionary that is begun anew all the time change nothing."""
+    import hashlib
+
+    from depframe.llm import sentence_pieces
+    from depframe.llm.queries import vocabulary
+
+    texts = [None, "", " ", "x\nlists of y", "aé漢 \u2581 b  c", "one two three " * 50, "\x00\ufffd😀"]
+    model = PieceModel.load(vocabulary("piece_bpe_32k.model"))
+
+    def told(t):
+        ids = model.encode(t).tolist()
+        back = model.decode(ids)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        return len(ids), sum(i in model.byte_ids for i in ids), sha(" ".join(map(str, ids))), sha(back), back == (t or "")
+
+    expected = [told(t) for t in texts]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, n_ids string").repartition(3)
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_ids", "n_byte_ids", "ids_sha256", "decoded_sha256", "round_trip")) for r in digest_columns(df, model).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+    monkeypatch.setattr(sentence_pieces, "BLOCK_CHUNKS", 3)
+    monkeypatch.setattr(sentence_pieces, "KNOWN_BYTES", 900)
+    assert [model.digests(t) for t in texts] == expected == [told(t) for t in texts]
