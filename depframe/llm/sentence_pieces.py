@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bounds of memory; neither changes a result.
-KNOWN_BYTES, BLOCK_CHUNKS, BATCH_IDS = 64 << 20, 50_000, 2_000_000
+KNOWN_BYTES, BLOCK_CHUNKS, BATCH_IDS = 160 << 20, 50_000, 2_000_000
 #: What an entry of the dictionary takes beside its characters, about.
-ENTRY_BYTES = 250
+ENTRY_BYTES = 180
 #: Fixed values. Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 
@@ -111,6 +111,7 @@ class PieceModel:
     name: str
     chunk: str
     _known: dict = field(default_factory=dict, repr=False)
+    _before: dict = field(default_factory=dict, repr=False)
     _size: int = 0
     _lists: list = field(default_factory=list, repr=False)
     _written: dict = field(default_factory=dict, repr=False)
@@ -206,23 +207,24 @@ class PieceModel:
 
     def blocks(self, text: str | None) -> Iterator[str]:
         """The ids of a text in decimal, joined by blanks, some thousands of chunks at a time; null counts as empty and has none."""
-        chunks = (m[0] for m in re.finditer(self.chunk, self.normalised(text or "")))
-        known = self._known
+        text = text or ""
+        if MARK in text or self.squeeze:
+            pattern, text = self.chunk, self.normalised(text)
+        else:  # blanks stand for markers, which keeps most of the dictionary's keys one byte a character
+            pattern, text = self.chunk.replace(MARK, " "), (" " if self.dummy_prefix and text else "") + text
+        chunks = iter(re.findall(pattern, text)) if len(text) < BLOCK_CHUNKS else (m[0] for m in re.finditer(pattern, text))
         while block := list(islice(chunks, BLOCK_CHUNKS)):
-            for chunk in set(block) - known.keys():
-                if self._size > KNOWN_BYTES:
-                    self._size = 0
-                    known.clear()
-                    known.update((c, self._search(c)) for c in set(block))
-                    break
-                known[chunk] = self._search(chunk)
+            if self._size > KNOWN_BYTES // 2:  # the last generation goes, what is still met moves over
+                self._known, self._before, self._size = {}, self._known, 0
+            known, before = self._known, self._before
+            for chunk in {c for c in block if c not in known}:
+                found = before.get(chunk)
+                if found is None:
+                    found = " ".join(map(str, self.best_path(chunk.replace(" ", MARK).encode())))
+                known[chunk] = found
+                self._size += len(chunk) + len(found) + ENTRY_BYTES
             yield " ".join(map(known.__getitem__, block))
 
-    def _search(self, chunk: str) -> str:
-        found = " ".join(map(str, self.best_path(chunk.encode())))
-        self._size += len(chunk) + len(found) + ENTRY_BYTES
-        return found
-
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
         parts = [np.array(b.split(" "), np.int32) for b in self.blocks(text)]
