@@ -1,12 +1,16 @@
 """Quality classifier by positive-unlabelled learning.
 
 A linear score of text features is fitted by the non-negative unbiased risk: with trusted positives P, unlabelled web text U
-and class prior pi, the risk is pi R_P(+) + max(0, R_U(-) - pi R_P(-)), sigmoid loss. When the second part falls below
+and class prior pi, the risk is pi R_P(+) + max(0, R_U(-) - pi R_P(-)), squared loss (1 - z)^2 / 4 of the margin z. When the second part falls below
 zero, a step climbs it again in place of descending. The prior is estimated from the labels that learning may see.
 
+With this loss both risks are quadratic in the weights, so they hang on the rows by the first and second moments of their
+features alone. Those are summed over the trusted positives and all unlabelled documents in one pass of Spark tasks. Only labelled rows
+are bounded: at most ``max_positive`` positives, chosen by a hash of the key, so that their keys can be broadcast and no text is shuffled. The driver
+gets two matrices of the number of features, whatever the size of the corpus, and every step on them is a step over all rows.
+
 Features are counts over the whole text: byte frequencies, and word statistics that show repetition, tables and
-shouting. They never include labels, lang, source or the key. Fitting runs on the driver over bounded samples: at most ``max_positive``
-and ``max_unlabelled`` documents, chosen by a hash of the key. Scoring runs over Arrow batches of all documents.
+shouting. They never include labels, lang, source or the key. Scoring runs over Arrow batches of all documents.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from depframe.llm.byte_hashing import PrefixHash, slices, text_bytes
 
 WORD_FEATURES = 12
 N_FEATURES = 256 + WORD_FEATURES
-MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
+MAX_POSITIVE = 20_000
+#: Margins lie about -1 and 1; the score is their logistic at this steepness.
+STEEPNESS = 4.0
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _UPPER = np.zeros(256, bool)
@@ -82,34 +88,48 @@ class LinearModel:
     prior: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+        return (x - self.mean) / self.scale @ self.weights + self.bias
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(STEEPNESS * self.raw(x), -30, 30)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> LinearModel:
-    """The model of least non-negative risk, by Adam over mini-batches; without positives or unlabelled rows every score is the prior."""
-    both = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, N_FEATURES))
-    base = unlabelled if len(unlabelled) else both
-    mean, scale = base.mean(0), np.maximum(base.std(0), 1e-3)
-    model = LinearModel(mean, scale, np.zeros(base.shape[1]), float(np.log(prior / (1 - prior))), prior)
-    if not len(positive) or not len(unlabelled):
+@dataclass
+class Moments:
+    """Number of rows, sum of their features and sum of the outer products, a 1 put behind the features."""
+
+    second: np.ndarray
+
+    @property
+    def n(self) -> float:
+        return float(self.second[-1, -1])
+
+    def standardised(self, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Mean outer product of ((features - mean) / scale, 1)."""
+        change = np.eye(len(mean) + 1)
+        change[:-1, :-1] = np.diag(1 / scale)
+        change[:-1, -1] = -mean / scale
+        return change @ (self.second / max(1.0, self.n)) @ change.T
+
+
+def fit_nnpu(positive: Moments, unlabelled: Moments, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> LinearModel:
+    """The model of least non-negative risk, by Adam over exact gradients; without positives or unlabelled rows every score is about the prior."""
+    base = unlabelled if unlabelled.n else positive
+    n = max(1.0, base.n)
+    mean = base.second[:-1, -1] / n
+    scale = np.maximum(np.sqrt(np.maximum(np.diag(base.second)[:-1] / n - mean**2, 0)), 1e-3)
+    model = LinearModel(mean, scale, np.zeros(len(mean)), float(np.log(prior / (1 - prior))) / STEEPNESS, prior)
+    if not positive.n or not unlabelled.n:
         return model
-    standard = lambda x: np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
-    p, u = standard(positive), standard(unlabelled)
-    w, m, v, t = np.zeros(p.shape[1]), 0.0, 0.0, 0
-    rnd = np.random.default_rng(seed)
-    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))  # noqa: E731  sigmoid loss of margin z; its derivative is -l(1-l)
-    for _ in range(rounds):
-        xp, xu = p[rnd.integers(0, len(p), min(len(p), 1024))], u[rnd.integers(0, len(u), min(len(u), 2048))]
-        lp, ln, lu = loss(xp @ w), loss(-(xp @ w)), loss(-(xu @ w))
-        positive_part = -prior * (lp * (1 - lp)) @ xp / len(xp)
-        negative_part = (lu * (1 - lu)) @ xu / len(xu) - prior * (ln * (1 - ln)) @ xp / len(xp)
-        risk = lu.mean() - prior * ln.mean()
-        gradient = positive_part + negative_part if risk >= 0 else -negative_part
+    p, u = positive.standardised(mean, scale), unlabelled.standardised(mean, scale)
+    w, m, v = np.zeros(len(p)), 0.0, 0.0
+    # With G the mean outer product and g its last column, the mean of (1 -+ z)^2 / 4 is (1 -+ 2 g w + w G w) / 4.
+    risk = lambda g, sign: (1 - sign * 2 * g[-1] @ w + w @ g @ w) / 4
+    slope = lambda g, sign: (g @ w - sign * g[-1]) / 2
+    for t in range(1, rounds + 1):
+        negative = slope(u, -1) - prior * slope(p, -1)
+        gradient = prior * slope(p, 1) + negative if risk(u, -1) >= prior * risk(p, -1) else -negative
         gradient = gradient + decay * np.r_[w[:-1], 0]
-        t += 1
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     model.weights, model.bias = w[:-1], float(w[-1])
@@ -121,31 +141,43 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _sample(ids: DataFrame, key: str, limit: int) -> DataFrame:
-    return ids.select(F.col(key).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit)
+def feature_moments(docs: DataFrame, key: str, text: str, trusted: DataFrame) -> tuple[Moments, Moments]:
+    """Moments of the trusted documents (keys ``__id``, of a bounded number) and of all documents, each row once.
 
-
-def _collected_features(docs: DataFrame, ids: DataFrame, key: str, text: str) -> np.ndarray:
-    """Features of the documents of ``ids``, at most some thousands: small enough to broadcast and to gather."""
-    chosen = docs.join(F.broadcast(ids), F.col(key) == F.col("__id"), "left_semi").select(F.col(text).cast("string").alias("text"))
+    A task sums its rows into one matrix for each kind, sent line by line, and Spark sums the tasks' lines.
+    """
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("text"))
+    rows = rows.join(F.broadcast(trusted.select("__id", F.lit(True).alias("trusted"))), "__id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    size = N_FEATURES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, size, size))
         for batch in batches:
-            rows = text_features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["x"])
-
-    got = sorted(bytes(r["x"]) for r in chosen.mapInArrow(run, "x binary").collect())
-    return np.array([np.frombuffer(x, np.float32) for x in got], np.float64).reshape(-1, N_FEATURES)
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> LinearModel:
-    """Fit on documents that are not held out. Labels other than 1 serve for the class prior alone; null labels for nothing."""
+            x = np.c_[text_features(batch.column("text")).astype(np.float64), np.ones(batch.num_rows)]
+            own = x[batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)]
+            total += np.stack([own.T @ own, x.T @ x])
+        if total[1, -1, -1]:
+            kind, line = np.divmod(np.arange(2 * size), size)
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(list(total.reshape(-1, size)), pa.list_(pa.float64()))], ["kind", "line", "x"])
+
+    lines = rows.mapInArrow(run, "kind int, line int, x array<double>")
+    summed = lines.groupBy("kind", "line").agg(*(F.sum(F.get("x", i)).alias(f"x{i}") for i in range(size)))
+    out = np.zeros((2, size, size))
+    for r in summed.toArrow().to_batches():
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in r.columns[2:]], 1) if r.num_rows else np.zeros((0, size))
+        out[r.column(0).to_numpy(), r.column(1).to_numpy()] = x
+    return Moments(out[0]), Moments(out[1])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positive: int = MAX_POSITIVE) -> LinearModel:
+    """Fit on all documents that are not held out and at most ``max_positive`` of those labelled 1. Labels other than 1 serve for the class prior alone; null labels for nothing, nor do null keys."""
     seen = labels.where(~held_out(F.col(key)) & F.col(label).isNotNull())
     share = seen.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
     prior = min(0.99, max(0.01, share if share is not None else 0.5))
-    trusted = _sample(seen.where(F.col(label) == 1), key, max_positive)
-    others = _sample(docs.where(~held_out(F.col(key))), key, max_unlabelled)
-    return fit_nnpu(_collected_features(docs, trusted, key, text), _collected_features(docs, others, key, text), prior)
+    trusted = seen.where(F.col(label) == 1).select(F.col(key).alias("__id")).where("__id is not null").distinct()
+    trusted = trusted.orderBy(F.xxhash64("__id"), "__id").limit(max_positive)
+    open_to_learning = docs.where(~held_out(F.col(key)) & F.col(key).isNotNull())
+    return fit_nnpu(*feature_moments(open_to_learning, key, text, trusted), prior)
 
 
 def score_quality(docs: DataFrame, model: LinearModel, text: str = "text") -> DataFrame:

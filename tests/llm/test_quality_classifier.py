@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from depframe.llm.quality_classifier import N_FEATURES, fit_nnpu, fit_quality, held_out, score_quality, text_features
+from depframe.llm.quality_classifier import N_FEATURES, Moments, feature_moments, fit_nnpu, fit_quality, held_out, score_quality, text_features
 from depframe.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -21,10 +21,15 @@ def test_held_out_accuracy(spark):
     assert auc > 0.97 and np.mean((s >= 0.5) == y) > 0.95
 
 
+def moments(x):
+    x = np.c_[x, np.ones(len(x))]
+    return Moments(x.T @ x)
+
+
 def test_risk_recovers_a_hidden_class():
     rnd = np.random.default_rng(1)
     good, bad = rnd.normal(1, 1, (3000, 5)), rnd.normal(-1, 1, (1000, 5))
-    model = fit_nnpu(good[:1000], np.concatenate([good[1000:], bad[:667]]), 0.75)
+    model = fit_nnpu(moments(good[:1000]), moments(np.concatenate([good[1000:], bad[:667]])), 0.75)
     assert np.mean(model.score(good) >= 0.5) > 0.93 and np.mean(model.score(bad[667:]) < 0.5) > 0.9
 
 
@@ -38,3 +43,13 @@ def test_odd_rows(spark):
     assert fit_quality(df.limit(0), labels.limit(0)).prior == 0.5
     x = text_features(pa.array(["a b a", None, "a b a", "é!! X"]))
     assert x.shape == (4, N_FEATURES) and (x[0] == x[2]).all() and not x[1].any()
+
+
+def test_moments_are_those_of_all_rows(spark):
+    rows = [(i, f"word{i % 7} and {'!' * (i % 5)} more" * (i % 9)) for i in range(300)] + [(5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "__id long")
+    x = text_features(pa.array([t for _, t in rows])).astype(np.float64)
+    own = np.array([i % 3 == 0 for i, _ in rows])
+    for got, some in zip(feature_moments(df, "doc_id", "text", trusted), (x[own], x), strict=True):
+        assert np.allclose(got.second, moments(some).second)
