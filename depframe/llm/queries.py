@@ -71,10 +71,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list holds the canonical URLs of the pages that link farms and mobile mirrors serve."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(url_filters.url_host(F.col("url")).rlike(r"^(spam-farm|m)\.")).select(url_filters.canonical_url(F.col("url")).alias("canonical"))
-    return url_filters.url_filter(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+    """The list holds the canonical URLs of pages of mangled text, those with a doubled mark in their html, in another spelling than the pages' own."""
+    pages = table(spark, sf_dir, "pages")
+    respelt = F.concat(F.lit("HTTP://"), F.upper(url_filters.url_host(F.col("url"))), F.lit(":80"), url_filters.url_path(F.col("url")), F.lit("/?utm_medium=list"))
+    query = F.regexp_extract("url", r"\?([^#]*)", 1)
+    listed = pages.where(F.col("html").contains("###")).select(F.concat(respelt, F.when(query != "", F.concat(F.lit("&"), query)).otherwise("")).alias("listed"))
+    listed = listed.select(url_filters.canonical_url(F.col("listed")).alias("canonical"))
+    return url_filters.url_filter(pages.select("page_id", "url"), URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +106,12 @@ ORACLES: dict[str, str] = {
         h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
         r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(kind, rule_host, rule_path)),
         m AS (SELECT page_id, max_by(struct_pack(kind := kind, rule := rule_host || rule_path), length(rule_host) * 1000 + length(rule_path)) AS best
-              FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
-        SELECT page_id, host, path, best.rule AS rule, coalesce(best.kind, CASE WHEN starts_with(host, 'spam-farm.') OR starts_with(host, 'm.') THEN 'block' ELSE 'allow' END) AS verdict
-        FROM h LEFT JOIN m USING (page_id)""",
+              FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+        c AS (SELECT page_id, html, regexp_replace(h.host, ':(80|443)$', '') || regexp_replace(h.path, '/+$', '') AS bare,
+                     list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept
+              FROM pages JOIN h USING (page_id) WHERE url LIKE '%://%'),
+        k AS (SELECT page_id, html, bare || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM c),
+        listed AS (SELECT DISTINCT canonical FROM k WHERE contains(html, '###'))
+        SELECT h.page_id, host, path, best.rule AS rule, coalesce(best.kind, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM h LEFT JOIN m USING (page_id) LEFT JOIN k USING (page_id) LEFT JOIN listed USING (canonical)""",
 }

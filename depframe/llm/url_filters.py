@@ -1,19 +1,23 @@
 """URL filters: prefix rules, then a blocked Bloom filter in front of an exact hash join.
 
 Only DataFrame functions are used. The Bloom filter is a table of 64-bit blocks: a key picks one
-block and sets ``BITS`` bits in it, so a probe is one equi-join on the block number. The table has
-at most ``MAX_BLOCKS`` rows (16 bytes each) whatever the length of the list, which is what makes
-broadcasting it safe; a longer list only lets more keys through to the exact join.
+block and sets ``BITS`` bits in it, so a probe is one equi-join on the block number. There is a block for every
+``KEYS_PER_BLOCK`` listed URLs, so a filter lets few others through whatever the list's length. Up to ``MAX_BLOCKS`` blocks (16 bytes each) it is
+broadcast; a longer filter is split by block number, and only keys and bits meet there, not whole rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depframe.session import materialise
+
 MAX_BLOCKS = 1 << 16
+KEYS_PER_BLOCK = 6
 BITS = 5
 SCHEMES = {"http": "80", "https": "443"}
 
@@ -69,37 +73,39 @@ def bloom_blocks(listed: DataFrame, key: str = "canonical", blocks: int = MAX_BL
     return rows.groupBy("block").agg(F.bit_or("m").alias("bits"))
 
 
-def in_list(df: DataFrame, key: str, listed: DataFrame, listed_key: str = "canonical", blocks: int = MAX_BLOCKS) -> DataFrame:
+def in_list(df: DataFrame, key: Column, listed: DataFrame, listed_key: str = "canonical", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``df`` with a boolean column ``listed``: whether ``key`` is one of ``listed[listed_key]``, exactly.
 
-    Rows that the Bloom filter rules out never take part in the exact join, so nothing of them is shuffled.
+    Rows that the Bloom filter rules out never take part in the exact join, so nothing of them is shuffled for it.
     A null key is not listed. Repeated rows stay repeated. An empty list gives false everywhere.
-    ``df`` must not have columns called block, bits or listed.
+    Columns of ``df`` keep their names, whatever they are; a column ``listed`` is replaced.
     """
-    if blocks > MAX_BLOCKS:
-        raise ValueError(f"a filter of over {MAX_BLOCKS} blocks is too large to broadcast")
-    keys = listed.select(F.col(listed_key).alias("__key")).where("__key is not null").distinct()
-    bloom = F.broadcast(bloom_blocks(keys, "__key", blocks))
-    probed = df.withColumn("block", _block(F.col(key), blocks)).join(bloom, "block", "left")
-    maybe = F.coalesce(F.col(key).isNotNull() & (F.col("bits").bitwiseAND(_mask(F.col(key))) == _mask(F.col(key))), F.lit(False))
-    probed = probed.withColumn("__maybe", maybe).drop("block", "bits")
-    passed = probed.where("__maybe").join(keys.withColumn("listed", F.lit(True)), F.col(key) == F.col("__key"), "left")
-    passed = passed.drop("__key").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return probed.where("not __maybe").withColumn("listed", F.lit(False)).unionByName(passed).drop("__maybe")
-
-
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url", blocks: int = MAX_BLOCKS) -> DataFrame:
+    keys = materialise(listed.select(F.col(listed_key).alias("__key")).where("__key is not null").distinct(), "listed")
+    blocks = 1 << max(4, math.ceil(math.log2(max(1, keys.count()) / KEYS_PER_BLOCK)))
+    bloom = bloom_blocks(keys, "__key", blocks)
+    bloom = F.broadcast(bloom) if blocks <= max_blocks else bloom.hint("merge")
+    # The caller's columns travel as one struct, so none of them can clash with those worked on here.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "listed")).alias("__row"), key.alias("__k"))
+    probed = rows.withColumn("block", _block(F.col("__k"), blocks)).join(bloom, "block", "left")
+    maybe = F.coalesce(F.col("__k").isNotNull() & (F.col("bits").bitwiseAND(_mask(F.col("__k"))) == _mask(F.col("__k"))), F.lit(False))
+    probed = probed.select("__row", "__k", maybe.alias("__maybe"))
+    passed = probed.where("__maybe").join(keys.withColumn("listed", F.lit(True)), F.col("__k") == F.col("__key"), "left")
+    passed = passed.select("__row.*", F.coalesce("listed", F.lit(False)).alias("listed"))
+    return probed.where("not __maybe").select("__row.*", F.lit(False).alias("listed")).unionByName(passed)
+
+
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     The longest fitting rule decides; else a page whose canonical URL is among ``listed`` (column canonical)
-    is blocked and any other allowed. Columns of these names in ``pages`` are replaced. Null and malformed
+    is blocked and any other allowed. Columns of these names in ``pages`` are replaced, others come back whatever their names. Null and malformed
     URLs have empty host and path, fit no rule and are allowed. An empty table gives an empty table.
     """
-    new = ("host", "path", "rule", "verdict", "listed", "block", "bits", "__canonical", "__maybe", "__key")
-    df = pages.drop(*(c for c in new if c != url))
-    df = df.withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url)))
+    new = ("host", "path", "rule", "verdict")
+    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c not in new))
+    df = pages.select(row.alias("row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), F.col(url).alias("url"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    df = df.withColumns({"rule": rule, "verdict": verdict, "__canonical": F.when(rule.isNull(), canonical_url(F.col(url)))})
-    judged = in_list(df, "__canonical", listed, blocks=blocks)
+    df = df.withColumns({"rule": rule, "verdict": verdict})
+    judged = in_list(df, F.when(F.col("rule").isNull(), canonical_url(F.col("url"))), listed, max_blocks=max_blocks)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("verdict", by_list)).drop("listed", "__canonical")
+    return judged.select("row.*", "host", "path", "rule", F.coalesce("verdict", by_list).alias("verdict"))

@@ -40,12 +40,20 @@ def test_rules_and_list(spark):
 def test_crowded_filter_stays_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("k"))
     listed = keys.where("id % 3 = 0" if "id" in keys.columns else "cast(substr(k, 2) as int) % 3 = 0").withColumnRenamed("k", "canonical")
-    out = in_list(keys, "k", listed, blocks=16)
-    assert out.where("listed").count() == 1000
-    assert out.where("listed and cast(substr(k, 2) as int) % 3 != 0").count() == 0
+    for max_blocks in (1 << 16, 4):  # broadcast, and split by block
+        out = in_list(keys, F.col("k"), listed, max_blocks=max_blocks)
+        assert out.where("listed").count() == 1000
+        assert out.where("listed and cast(substr(k, 2) as int) % 3 != 0").count() == 0
     assert bloom_blocks(listed, blocks=16).count() <= 16
 
 
+def test_clashing_columns_come_back_as_they_were(spark):
+    names = ("listed", "block", "bits", "__key", "__k", "__row", "row", "canonical")
+    df = spark.createDataFrame([(1, "http://bad.host/p", *range(len(names)))], "page_id long, url string, " + ", ".join(f"`{n}` int" for n in names))
+    (r,) = url_filter(df, URL_RULES, spark.createDataFrame([("bad.host/p",)], "canonical string")).collect()
+    assert r["verdict"] == "block" and [r[n] for n in names] == list(range(len(names)))
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter(pages, URL_RULES, pages.select(canonical_url(F.col("url")).alias("canonical"))).count() == 0
