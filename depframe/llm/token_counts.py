@@ -68,9 +68,9 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str, text: str
     the new names are replaced. Special strings inside texts are handled as the tokenizer's file has it.
     """
     fill_cache(df, tokenizer_path, cache_path, text)
-    new = ("n_bytes", "n_tokens", "over_limit", "digest")
-    keyed = df.withColumn("__text", F.col(text)).drop(*(c for c in new if c != text))
-    keyed = keyed.withColumn("digest", content_digest(F.col("__text")))
-    keyed = keyed.withColumn("n_bytes", F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long")).drop("__text")
+    new = ("n_bytes", "n_tokens", "over_limit")
+    # The caller's columns travel as one struct, so none of them can clash with those worked on here.
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in new or c == text))
+    keyed = df.select(row.alias("row"), content_digest(F.col(text)).alias("digest"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
     counts = stored_counts(df.sparkSession, tokenizer_digest(tokenizer_path), cache_path)
-    return keyed.join(counts, "digest", "left").drop("digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    return keyed.join(counts, "digest", "left").select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

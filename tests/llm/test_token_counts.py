@@ -51,3 +51,9 @@ def test_counts_and_cache(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in again.collect()} == {1: 77, 2: 1}
     assert stored_counts(spark, key, cache).count() == before + 1
     assert token_counts(df.limit(0), PATH, cache).count() == 0
+
+
+def test_clashing_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one two", b"own", 5, 6)], "doc_id long, text string, digest binary, tokenizer int, n_tokens int")
+    (r,) = token_counts(df, public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache").collect()
+    assert bytes(r["digest"]) == b"own" and r["tokenizer"] == 5 and r["n_tokens"] > 0 and r["n_bytes"] == 7
