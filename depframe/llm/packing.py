@@ -25,7 +25,7 @@ from depframe.llm.chunked_encoding import encoder
 from depframe.session import materialise
 
 CAPACITY = 2048
-PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long"
+PIECES = "piece int, start long, length long, ids_crc32 long, __part int, __nth long"
 
 
 def _pieces(path: str, capacity: int, columns: list[str]):
@@ -36,7 +36,7 @@ def _pieces(path: str, capacity: int, columns: list[str]):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             row, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "nth")}
-            for i, chunks in enumerate(encoder(path, "bytes").encode(batch.column("__text").to_pylist())):
+            for i, chunks in enumerate(encoder(path, "bytes").encode(batch.column(len(columns)).to_pylist())):
                 chunks.append(b"\0\0\0\0")
                 ids = b"".join(chunks)
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -47,9 +47,9 @@ def _pieces(path: str, capacity: int, columns: list[str]):
                         out[k].append(v)
                     seen[n] += 1
             took = pa.array(row, pa.int64())
-            made = {c: batch.column(c).take(took) for c in columns}
+            made = {c: batch.column(j).take(took) for j, c in enumerate(columns)}
             made |= {"piece": pa.array(out["piece"], pa.int32()), "start": pa.array(out["start"], pa.int64()), "length": pa.array(out["length"], pa.int64())}
-            made |= {"ids_crc32": pa.array(out["ids_crc32"], pa.int64()), "part": pa.array([part] * len(row), pa.int32()), "nth": pa.array(out["nth"], pa.int64())}
+            made |= {"ids_crc32": pa.array(out["ids_crc32"], pa.int64()), "__part": pa.array([part] * len(row), pa.int32()), "__nth": pa.array(out["nth"], pa.int64())}
             yield pa.RecordBatch.from_pydict(made)
 
     return run
@@ -58,12 +58,13 @@ def _pieces(path: str, capacity: int, columns: list[str]):
 def document_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
     """The pieces of each document (its ids, then id 0), cut at ``capacity``; all columns of ``df`` but ``text`` come along.
 
-    A null or empty text is one piece of one id. Columns of ``df`` with the names of ``PIECES`` are left out.
+    A null or empty text is one piece of one id. Columns of ``df`` with the names of ``PIECES``, sequence_id, offset, __rank and __before are left out; other names do not clash.
     """
     new = [f.split()[0] for f in PIECES.split(", ")]
-    keep = [c for c in df.columns if c not in (*new, text, "__text")]
-    rows = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    fields = [f"`{n}` {t}" for n, t in rows.select(*keep).dtypes] + [PIECES]
+    keep = [c for c in df.columns if c not in (*new, "sequence_id", "offset", "__rank", "__before", text)]
+    free = max(df.columns, key=len) + "_"  # a name that no column has
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias(free))
+    fields = [f"`{n}` {t}" for n, t in rows.dtypes[:-1]] + [PIECES]
     return rows.mapInArrow(_pieces(tokenizer_path, capacity, keep), ", ".join(fields))
 
 
@@ -197,13 +198,13 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str
     empty table. Columns: those of ``df`` but ``text``, piece, start, length, ids_crc32, sequence_id, offset.
     """
     pieces = materialise(document_pieces(df, tokenizer_path, capacity, text), "pieces")
-    groups = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    groups = materialise(groups, "lengths")
+    groups = materialise(pieces.groupBy("__part", "length").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    ranked = pieces.join(starts, ["part", "length"]).withColumn("__rank", F.col("nth") + F.col("__before"))
-    keep = [c for c in pieces.columns if c not in ("part", "nth")]
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.select("__part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    # A row for each task and length: it grows with the corpus, so it is never broadcast.
+    ranked = pieces.join(starts.hint("merge"), ["__part", "length"]).withColumn("__rank", F.col("__nth") + F.col("__before"))
+    keep = [c for c in pieces.columns if c not in ("__part", "__nth")]
     ranked = ranked.select(*keep, "__rank")
     fields = [f"`{n}` {t}" for n, t in ranked.drop("__rank").dtypes] + ["sequence_id long", "offset long"]
     return ranked.mapInArrow(_assign(_places(plan(counts, capacity)), keep), ", ".join(fields))

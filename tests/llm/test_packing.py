@@ -56,3 +56,10 @@ def test_pieces_and_places(spark, partitions):
             at += length
         assert at <= CAPACITY
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ("sequence_id", "offset", "part", "nth", "__text", "piece", "__rank")
+    df = spark.createDataFrame([(i, "one two", *range(len(names))) for i in range(5)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = pack(df, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert all([r[n] for n in ("part", "nth", "__text")] == [2, 3, 4] for r in out) and len({(r["sequence_id"], r["offset"]) for r in out}) == 5
