@@ -10,7 +10,8 @@ Empty subsets agree for free and would put all small sets into one bucket, so th
 nothing as there are ``spare`` groups beyond what the argument needs: a pair is only at risk if both sets have more than
 ``spare`` groups with an empty subset, and such sets sign again under another dealing; in the last dealing empty subsets count.
 
-Signatures cross the network once; only those of buckets with two documents are written. Copies: sets equal within a task sign
+Signatures cross the network once; only those of buckets with two documents are written. A set that shares fewer of them with all others than it must share
+with any partner is left out. Copies: sets equal within a task sign
 once, and those equal across tasks are linked by their digest.
 
 Buckets: pairs of a bucket are never formed. The centre of a bucket is its most popular set (whose buckets hold most
@@ -143,14 +144,29 @@ def own_band(size: int, num: int, den: int) -> tuple[int, tuple[Band, ...]]:
     return next(i for i, b in enumerate(family) if b.low <= size < b.high), family
 
 
-def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """All signatures of a set: of its band and, where a partner may be smaller than the band, of the one below."""
+class Signed(NamedTuple):
+    """The signatures of a set, the last byte of each its band and dealing; its band; the least number of signatures that it shares with
+    a partner, in its own band and in the one below."""
+
+    signatures: np.ndarray
+    band: int
+    least: int
+    below: int
+
+
+def signatures(hashes: np.ndarray, num: int, den: int) -> Signed:
+    """All signatures of a set: of its band and, where a partner may be smaller than the band, of the one below.
+
+    All but differ / (k2 + 1) groups of the first dealing agree with a partner, and those without an empty subset share a signature each. Where a set
+    signs again because too many subsets are empty, the least number is 1.
+    """
     size = len(hashes)
     own, family = own_band(size, num, den)
     tags = [own] + [own - 1] * (own > 0 and num * size <= den * (family[own].low - 1))
-    content, out = mix(hashes + np.uint64(11)), []
+    content, out, least = mix(hashes + np.uint64(11)), [], {}
     for tag in tags:
         b = family[tag]
+        differ = _differ(size, num, den) if tag == own else (size + b.high - 1) * (den - num) // (den + num)
         for dealing in range(DEALINGS):
             n = b.n1 * b.n2
             parts = (mix(hashes ^ np.uint64((tag << 8) + dealing + 1)) % np.uint64(n)).astype(np.int64)
@@ -162,17 +178,20 @@ def signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
             for j in range(chosen.shape[1]):
                 total += mix(sums[:, chosen[:, j]] + np.uint64(j + 1)) * (counts[:, chosen[:, j]] > 0)
             name = np.arange(b.n1 * len(chosen), dtype=np.uint64).reshape(total.shape) + np.uint64((tag << 40) + (dealing << 32))
-            total = mix(total ^ mix(name))
-            sure = int((~filled.all(1)).sum()) <= b.spare
+            total = (mix(total ^ mix(name)) & ~np.uint64(255)) | np.uint64(tag * DEALINGS + dealing)
+            holes = int((~filled.all(1)).sum())
+            sure = holes <= b.spare
+            if not dealing:
+                least[tag] = max(1, b.n1 - differ // (b.k2 + 1) - holes) if sure else 1
             out.append(total[filled] if sure or dealing < DEALINGS - 1 else total.ravel())
             if sure:
                 break
-    return np.concatenate(out)
+    return Signed(np.concatenate(out), own, least[own], least.get(own - 1, 1))
 
 
-#: Rows of a signature (s, id) and of a document (s is arbitrary; id, n, digest, and whether this row has signatures).
-SIGNED = "s long, id long, n long, digest binary, signs boolean"
-_SIGNED = pa.schema([("s", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("signs", pa.bool_())])
+#: Rows of a signature (s, id) and of a document (s is arbitrary; id, n, digest, and, where this row has signatures, their band, least and below).
+SIGNED = "s long, id long, n long, digest binary, band int, least int, below int"
+_SIGNED = pa.schema([("s", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), *((c, pa.int32()) for c in ("band", "least", "below"))])
 BATCH_ROWS = 100_000
 
 
@@ -183,17 +202,18 @@ def _sign(words: int, num: int, den: int):
         for batch in batches:
             ids, told, signs, owners, rows = batch.column("id"), [], [], [], 0
             for h, key in zip(shingle_hashes(batch.column("text"), words), ids.to_pylist(), strict=True):
-                digest, first = None, False
+                digest, about = None, (None, None, None)
                 if len(h):
                     with np.errstate(over="ignore"):
                         digest = np.array([mix(h).sum(dtype=np.uint64), mix(h + np.uint64(99)).sum(dtype=np.uint64), len(h)], np.uint64).tobytes()
-                        first = key is not None and digest not in seen
-                        if first:
+                        if key is not None and digest not in seen:
                             seen.add(digest)
-                            signs.append(signatures(h, num, den).view(np.int64))
+                            found = signatures(h, num, den)
+                            about = found[1:]
+                            signs.append(found.signatures.view(np.int64))
                             owners.append(np.full(len(signs[-1]), key, np.int64))
                             rows += len(signs[-1])
-                told.append((len(h), digest, first))
+                told.append((len(h), digest, *about))
                 if rows >= BATCH_ROWS:
                     yield _signature_rows(signs, owners)
                     signs, owners, rows = [], [], 0
@@ -203,7 +223,7 @@ def _sign(words: int, num: int, den: int):
             with np.errstate(over="ignore"):
                 spread = mix(np.arange(row, row + len(told), dtype=np.uint64)).view(np.int64)
             row += len(told)
-            made = [pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.bool_()))]
+            made = [pa.array([t[i] for t in told], kind) for i, kind in enumerate(_SIGNED.types[2:])]
             yield pa.RecordBatch.from_arrays([pa.array(spread), ids, *made], schema=_SIGNED)
 
     return run
@@ -311,13 +331,19 @@ def _edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.where(_linked(num, den)).select(F.col("id").alias("a"), F.col("c").alias("b"))
 
 
+def _shared_enough(members: DataFrame) -> DataFrame:
+    """The rows of each set and band of which there are as many as a partner must share."""
+    own = Window.partitionBy("id", F.col("s").bitwiseAND(255))
+    return members.withColumn("there", F.count("*").over(own)).where("there >= least").drop("there")
+
+
 def _mixed(members: DataFrame, edges: DataFrame) -> DataFrame:
     """``members`` of the buckets that hold several components, with the component that the links so far give."""
     classes = connected_components(edges).withColumnRenamed("node", "id")
     named = members.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     bucket = Window.partitionBy("s")
     named = named.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket))
-    mixed = materialise(named.where("lo != hi").drop("lo", "hi"), "mixed")
+    mixed = materialise(_shared_enough(named.where("lo != hi").drop("lo", "hi")), "mixed")
     discard(classes)
     return mixed
 
@@ -334,16 +360,21 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", word
     bucket = Window.partitionBy("s")
     met = signed.withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket))
     signed = materialise(met.where("n is not null or lo != hi").drop("lo", "hi"), "signatures")
-    rows = signed.where("n is not null").select("id", "n", "digest", "signs")
+    rows = signed.where("n is not null").select("id", "n", "digest", "band", "least", "below")
     usable = rows.where("id is not null and digest is not null")
-    heads = usable.groupBy("digest").agg(F.min(F.when(F.col("signs"), F.col("id"))).alias("head"))
-    heads = materialise(heads, "heads")
-    edges = materialise(usable.join(heads, "digest").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "copies")
-
-    members = signed.where("n is null").select("s", "id").join(heads.select(F.col("head").alias("id")).distinct(), "id", "left_semi")
+    first = F.min(F.when(F.col("band").isNotNull(), F.struct("id", "band", "least", "below")))
+    heads = materialise(usable.groupBy("digest").agg(first.alias("head")).select("digest", "head.*"), "heads")
+    copies = usable.select("digest", F.col("id").alias("a")).join(heads.select("digest", F.col("id").alias("b")), "digest").where("a != b")
+    edges = materialise(copies.select("a", "b").distinct(), "copies")
+
+    # Sets that share fewer signatures with all others than a partner must share have none. Rows of one key may hold several sets.
+    told = heads.groupBy("id").agg(F.count("*").alias("k"), *(F.min(c).alias(c) for c in ("band", "least", "below")))
+    least = F.when((F.col("k") == 1) & (F.col("s").bitwiseAND(255) >= DEALINGS * F.col("band")), F.col("least")).when(F.col("k") == 1, F.col("below")).otherwise(1)
+    members = signed.where("n is null").select("s", "id").join(told, "id").withColumn("least", least).select("s", "id", "least")
+    members = _shared_enough(members)
     crowd = members.withColumn("k", F.count("*").over(bucket)).withColumn("popular", F.sum("k").over(Window.partitionBy("id")))
     centre = crowd.withColumns({"c": F.first("id").over(bucket.orderBy(F.desc("popular"), "id")), "lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket)})
-    members = materialise(centre.where("lo != hi").select("s", "id", "c"), "buckets")
+    members = materialise(centre.where("lo != hi").select("s", "id", "least", "c"), "buckets")
     discard(heads)
     known = materialise(docs.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     meets = members.where("id != c").repartition("id").groupBy("id", "c").agg(F.count("*").alias("k"))
