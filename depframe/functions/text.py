@@ -126,7 +126,8 @@ def clipped(text: Column, n: int) -> Column:
 
 
 def with_period(text: Column) -> Column:
-    return F.when(text.rlike(r"[.!?:]$"), text).otherwise(F.concat(text, F.lit(".")))
+    """An empty text stays empty."""
+    return F.when((text == "") | text.rlike(r"[.!?:]$"), text).otherwise(F.concat(text, F.lit(".")))
 
 
 def normalised_sentence(text: Column) -> Column:

@@ -53,9 +53,10 @@ def nl_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = T.split_lines(table(spark, sf_dir, "documents"), "text", ["doc_id"]).where("ln = 1")
+    """Of every line of every text."""
+    lines = T.split_lines(table(spark, sf_dir, "documents"), "text", ["doc_id"])
     names = T.identifiers(F.col("raw"))
-    return lines.select("doc_id", F.size(names).cast("long").alias("n_names"), F.size(F.filter(names, T.is_variable)).cast("long").alias("n_variables"))
+    return lines.select("doc_id", F.col("ln").cast("long").alias("ln"), F.size(names).cast("long").alias("n_names"), F.size(F.filter(names, T.is_variable)).cast("long").alias("n_variables"))
 
 
 def document_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +96,8 @@ ORACLES = {
         n AS (SELECT o_orderkey, regexp_replace(regexp_replace(line, ',\s*', ', ', 'g'), '\.{2,}$', '.') AS line FROM c)
         SELECT o_orderkey, CASE WHEN regexp_matches(line, '[.!?:]$') THEN line ELSE line || '.' END AS sentence FROM n""",
     "identifier_sets": rf"""
-        WITH l AS ({_LINES}), n AS (SELECT doc_id, list_distinct(regexp_extract_all(raw, '\b[A-Za-z_][0-9A-Za-z_]*\b')) AS names FROM l WHERE ln = 1)
-        SELECT doc_id, len(names) AS n_names,
+        WITH l AS ({_LINES}), n AS (SELECT doc_id, ln, list_distinct(regexp_extract_all(raw, '\b[A-Za-z_][0-9A-Za-z_]*\b')) AS names FROM l)
+        SELECT doc_id, ln::BIGINT AS ln, len(names) AS n_names,
                len([x FOR x IN names IF upper(x) NOT IN ('TRUE', 'FALSE', 'NAN', 'INF', 'INFINITY')]) AS n_variables FROM n""",
     "document_identifiers": r"""
         WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\b[A-Za-z_][0-9A-Za-z_]*\b')) AS names FROM documents WHERE length(text) > 0)
