@@ -52,7 +52,9 @@ def clean_line(line: Column) -> Column:
 
 
 def norm_line(line: Column) -> Column:
-    return F.upper(F.regexp_replace(clean_line(line), r"^\s+|\s+$", ""))
+    """Upper case without comments and outer blanks; here ``(* *)`` goes before the rest after ``//`` does."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"\(\*.*?\*\)", ""), r"//.*", "")
+    return F.upper(F.regexp_replace(bare, r"^\s+|\s+$", ""))
 
 
 def is_head(line: Column, word: str) -> Column:
@@ -100,10 +102,12 @@ def is_executable(line: Column) -> Column:
 
 
 def is_covered_kind(line: Column) -> Column:
-    """For coverage: control heads and anything with a bracket or an assignment, case as written."""
+    """For coverage: control heads and anything with a bracket or an assignment, case as written; no declarations and no structural keywords."""
     text = F.regexp_replace(clean_line(line), r"^\s+|\s+$", "")
     head = text.rlike(r"^(IF|ELSIF|CASE|FOR|WHILE|REPEAT|UNTIL)\b")
-    return (text != "") & ~text.rlike(r"^(END_|VAR|PROGRAM|FUNCTION)") & (head | text.contains(":=") | text.contains("("))
+    declared = text.contains(":") & ~text.contains(":=") & text.endswith(";")
+    structural = text.rlike(r"^(END_\w+|VAR|VAR_(INPUT|OUTPUT|IN_OUT|GLOBAL|TEMP|EXTERNAL)|PROGRAM|FUNCTION|FUNCTION_BLOCK)\b")
+    return (text != "") & ~structural & ~declared & (head | text.contains(":=") | text.contains("("))
 
 
 def matches_any(name: Column, keywords: list[str]) -> Column:

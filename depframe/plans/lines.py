@@ -69,8 +69,7 @@ def document_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (line_table, line_predicates, exec_line_coverage, first_wins_dedup, quantile_floor, nl_sentences, identifier_sets, document_identifiers)}
 
 _LINES = r"""SELECT *, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS ln FROM documents WHERE length(text) > 0"""
-_CLEAN = r"regexp_replace(regexp_replace(raw, '//.*', '', 'g'), '\(\*.*?\*\)', '', 'g')"
-_NORM = rf"upper(regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g'))"
+_NORM = r"upper(regexp_replace(regexp_replace(regexp_replace(raw, '\(\*.*?\*\)', '', 'g'), '//.*', '', 'g'), '^\s+|\s+$', '', 'g'))"
 
 ORACLES = {
     "line_table": f"SELECT doc_id, ln, raw FROM ({_LINES})",
