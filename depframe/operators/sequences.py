@@ -20,16 +20,18 @@ def running_depth(df: DataFrame, keys: list[str], order: list[str], ends: str, h
 def matching_end(df: DataFrame, keys: list[str], order: str, head: str, end: str) -> DataFrame:
     """(keys, start, end): for every row with ``head`` > 0 the first row from it on where the heads since are all ended by an end in that row.
 
-    A head counts once for a row, ends count all. Heads without end are left out. One pass over running sums: the level before a head
-    names the end that comes back to it, found as the next row at that level or below.
+    A head counts once for a row, ends count all. Heads without end are left out. The level before a head names the end that comes back
+    to it, so both go by level through one window that finds the next end.
     """
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df.withColumn("__after", F.sum(F.col(head) - F.col(end)).over(upto))
     rows = rows.withColumn("__before", F.col("__after") - F.col(head) + F.col(end))
-    starts = rows.where(F.col(head) > 0).select(*keys, F.col(order).alias("start"), F.col("__before").alias("__level"))
-    ends = rows.where(F.col(end) > 0).select(*keys, F.col(order).alias("end"), F.col("__after").alias("__level"))
-    met = starts.join(ends, [*keys, "__level"]).where("end >= start")
-    return met.groupBy(*keys, "start").agg(F.min("end").alias("end"))
+    start = F.when(F.col(head) > 0, F.struct(F.col("__before").alias("level"), F.lit(True).alias("opens")))
+    stop = F.when(F.col(end) > 0, F.struct(F.col("__after").alias("level"), F.lit(False).alias("opens")))
+    marks = rows.select(*keys, F.col(order).alias("start"), F.explode(F.array_compact(F.array(start, stop))).alias("__m"))
+    ahead = Window.partitionBy(*keys, "__m.level").orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = marks.withColumn("end", F.min(F.when(~F.col("__m.opens"), F.col("start"))).over(ahead))
+    return found.where("__m.opens and end is not null").select(*keys, "start", "end")
 
 
 def next_flag(df: DataFrame, keys: list[str], order: str, flag: str, name: str) -> DataFrame:
@@ -99,9 +101,11 @@ def floor_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str
 
 
 def interval_patch(hits: DataFrame, spans: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """(keys, at): the hits and, for every span (start, end) that holds one, its start and end. Keys make it an equi-join with a range condition."""
-    inside = spans.join(hits.select(*keys, F.col(at).alias("__at")), keys).where((F.col("__at") >= F.col("start")) & (F.col("__at") <= F.col("end")))
-    edges = inside.select(*keys, F.explode(F.array("start", "end")).alias(at))
+    """(keys, at): the hits and, for every span (start, end) that holds one, its start and end. A window finds the next hit from each start on."""
+    both = spans.select(*keys, F.col("start").alias("__at"), "end").unionByName(hits.select(*keys, F.col(at).alias("__at")), allowMissingColumns=True)
+    ahead = Window.partitionBy(*keys).orderBy("__at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    both = both.withColumn("__next", F.min(F.when(F.col("end").isNull(), F.col("__at"))).over(ahead))
+    edges = both.where("end is not null and __next <= end").select(*keys, F.explode(F.array("__at", "end")).alias(at))
     return hits.select(*keys, at).union(edges).distinct()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depframe.plans import graphs, lines, programs, rows
+from depframe.plans import code, graphs, lines, programs, rows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = lines.QUERIES | rows.QUERIES | graphs.QUERIES | programs.QUERIES
-ORACLES: dict[str, str] = lines.ORACLES | rows.ORACLES | graphs.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = lines.QUERIES | code.QUERIES | rows.QUERIES | graphs.QUERIES | programs.QUERIES
+ORACLES: dict[str, str] = lines.ORACLES | code.ORACLES | rows.ORACLES | graphs.ORACLES
