@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depframe.frontend import describe as D
 from depframe.frontend import statements as P
 
 TANK = """PROGRAM Tank
@@ -57,5 +58,12 @@ def st_describe_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("kind") != "end").select("program_id", F.col("ln").cast("long").alias("ln"), P.sentence(rows).alias("sentence"))
 
 
-QUERIES = {f.__name__: f for f in (st_slice_demo, st_describe_demo)}
+def st_describe_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample programs at all three levels, with a documented block."""
+    docs = spark.createDataFrame([("timer", "Delays a rising edge")], "callee string, summary string")
+    told = [D.described(sample_programs(spark), level, docs).withColumn("level", F.lit(level)) for level in D.LEVELS]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
+QUERIES = {f.__name__: f for f in (st_slice_demo, st_describe_demo, st_describe_levels)}
 ORACLES: dict[str, str] = {}
