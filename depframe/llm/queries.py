@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depframe.llm import jaccard_join, media_columns, packing, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_counts, url_filters
+from depframe.llm import ball_clusters, jaccard_join, line_dedup, media_columns, packing, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_counts, url_filters
 from depframe.session import scratch_path, table
 
 #: Fixed values. (verdict, host, path) of the URL rules.
@@ -87,6 +87,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
+def op12_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.ball_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
@@ -98,9 +107,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_ball_clusters": op12_ball_clusters,
 }
 
+#: Five rounds of assignment and exact means in integers; CTEs are materialised, as each is read several times.
+_NEAREST = """a{i} AS MATERIALIZED (SELECT vec_id, v, d.cluster AS cluster, d.d AS distance FROM (
+    SELECT vec_id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, cluster := cluster)) AS d FROM k, c{i} GROUP BY vec_id, v))"""
+_MEANS = """c{j} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+    SELECT cluster, list(m ORDER BY d) AS m FROM (SELECT cluster, d, floor(sum(x) / count(*)::DOUBLE)::BIGINT AS m FROM (
+        SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{i}) GROUP BY cluster, d) GROUP BY cluster) USING (cluster))"""
+_BALLS = ", ".join(_NEAREST.format(i=i) + ", " + _MEANS.format(i=i, j=i + 1) for i in range(5)) + ", " + _NEAREST.format(i=5)
+
 ORACLES: dict[str, str] = {
+    "op11_line_dedup": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM t),
+        l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s),
+        k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+        f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM f)) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM f)), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
+    "op12_ball_clusters": f"""
+        WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS cluster, v AS c FROM (SELECT v, sha256('2:' || vec_id) AS h FROM k ORDER BY h LIMIT 40)),
+        {_BALLS},
+        s AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a5 GROUP BY cluster)
+        SELECT vec_id, cluster, distance, cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM s) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a5 JOIN s USING (cluster) JOIN c5 USING (cluster)""",
     "op9_url_filters": r"""
         WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
