@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depframe.llm import ball_clusters, jaccard_join, line_dedup, media_columns, packing, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_counts, url_filters
+from depframe.llm import ball_clusters, collocations, jaccard_join, line_dedup, media_columns, packing, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, token_counts, url_filters
 from depframe.session import scratch_path, table
 
 #: Fixed values. (verdict, host, path) of the URL rules.
@@ -96,6 +96,10 @@ def op12_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_clusters.ball_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_line_dedup": op11_line_dedup,
     "op12_ball_clusters": op12_ball_clusters,
+    "op13_collocations": op13_collocations,
 }
 
 #: Five rounds of assignment and exact means in integers; CTEs are materialised, as each is read several times.
@@ -127,6 +132,22 @@ ORACLES: dict[str, str] = {
         f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM f)) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM f)), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM d),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+        n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, ws[i:i + m - 1] AS ph FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) s(m))),
+        f AS MATERIALIZED (SELECT lang, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, ph, f AS a, unnest(range(1, len(ph))) AS k FROM f WHERE len(ph) > 1),
+        s AS (SELECT c.lang, c.ph, c.a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+              FROM c JOIN n USING (lang) JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:k] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[k + 1:]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+        v AS (SELECT lang, ph[2:] AS ph, f FROM f WHERE len(ph) > 2 UNION ALL SELECT lang, ph[:-2], f FROM f WHERE len(ph) > 2),
+        u AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.lang = b.lang AND v.ph = b.ph AND v.f >= b.a)),
+        q AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, n, score FROM u)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM q
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
     "op12_ball_clusters": f"""
         WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
