@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depframe.llm.chunked_encoding import encoder
+from depframe.llm.columns import carried, fields, inner
 from depframe.session import materialise
 
 CAPACITY = 2048
@@ -62,10 +63,9 @@ def document_pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     """
     new = [f.split()[0] for f in PIECES.split(", ")]
     keep = [c for c in df.columns if c not in (*new, "sequence_id", "offset", "__rank", "__before", text)]
-    free = max(df.columns, key=len) + "_"  # a name that no column has
-    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias(free))
-    fields = [f"`{n}` {t}" for n, t in rows.dtypes[:-1]] + [PIECES]
-    return rows.mapInArrow(_pieces(tokenizer_path, capacity, keep), ", ".join(fields))
+    rows = df.select(*carried(keep), F.col(text).cast("string").alias("__text"))
+    schema = fields(rows)[:-1] + [PIECES]
+    return rows.mapInArrow(_pieces(tokenizer_path, capacity, inner(keep)), ", ".join(schema)).toDF(*keep, *new)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -205,6 +205,6 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str
     # A row for each task and length: it grows with the corpus, so it is never broadcast.
     ranked = pieces.join(starts.hint("merge"), ["__part", "length"]).withColumn("__rank", F.col("__nth") + F.col("__before"))
     keep = [c for c in pieces.columns if c not in ("__part", "__nth")]
-    ranked = ranked.select(*keep, "__rank")
-    fields = [f"`{n}` {t}" for n, t in ranked.drop("__rank").dtypes] + ["sequence_id long", "offset long"]
-    return ranked.mapInArrow(_assign(_places(plan(counts, capacity)), keep), ", ".join(fields))
+    ranked = ranked.select(*carried(keep), "length", "__rank")
+    schema = fields(ranked.drop("length", "__rank")) + ["sequence_id long", "offset long"]
+    return ranked.mapInArrow(_assign(_places(plan(counts, capacity)), inner(keep)), ", ".join(schema)).toDF(*keep, "sequence_id", "offset")

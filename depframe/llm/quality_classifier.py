@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depframe.llm.byte_hashing import PrefixHash, slices, text_bytes
+from depframe.llm.columns import carried, fields, inner
 
 WORD_FEATURES = 12
 N_FEATURES = 256 + WORD_FEATURES
@@ -186,13 +187,12 @@ def score_quality(docs: DataFrame, model: LinearModel, text: str = "text") -> Da
     Equal texts score alike; repeated rows stay repeated; an empty table gives an empty table; columns of the new names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted", "__text")]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    rows = docs.select(*carried(keep), F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(text_features(batch.column("__text")))
-            made = {c: batch.column(c) for c in keep}
+            made = {c: batch.column(c) for c in inner(keep)}
             yield pa.RecordBatch.from_pydict(made | {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    fields = [f"`{n}` {t}" for n, t in docs.select(*keep).dtypes] + ["score double", "predicted int"]
-    return rows.mapInArrow(run, ", ".join(fields))
+    return rows.mapInArrow(run, ", ".join(fields(rows.drop("__text")) + ["score double", "predicted int"])).toDF(*keep, "score", "predicted")

@@ -33,8 +33,8 @@ SUPPORT, CONSISTENCY = 0.75, 1.49
 CUTOFF = 33.4
 GRID = 1024
 BINS_PER_UNIT = 16
-#: A determinant that falls by less than this (as a logarithm) has settled; most steps.
-SETTLED, STEPS = 1e-3, 25
+#: A determinant that falls by less than this (as a logarithm) has settled; steps after which it is an error that one has not.
+SETTLED, STEPS = 1e-3, 1000
 #: Rows that the estimate over all rows counts as.
 PRIOR_ROWS = 100
 #: Estimates up to this number are broadcast (under 1 KB each); more are joined by their key.
@@ -196,6 +196,8 @@ def mcd_estimates(rows: DataFrame, floors: dict[str, float], grid: int = GRID, s
         now = new
         if not fell:
             break
+    else:
+        raise RuntimeError(f"the estimates did not settle in {steps} steps")
     columns = F.struct(*(F.col(c) for c in now.columns))
     out = materialise(best.groupBy("__g").agg(F.min_by(columns, F.struct("__ld", "__start")).alias("x")).select("x.*").drop("__start"), "mcd")
     discard(best, now)

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from depframe.llm import columns
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bounds of memory; neither changes a result.
@@ -117,6 +119,10 @@ class PieceModel:
     _written: dict = field(default_factory=dict, repr=False)
     _bytes: frozenset | None = field(default=None, repr=False)
 
+    def __post_init__(self) -> None:
+        settings = repr((self.pieces, self.kinds, self.dummy_prefix, self.squeeze, self.byte_ids, self.unknown, self.chunk)).encode()
+        self.digest = hashlib.sha256(settings + np.asarray(self.scores, np.float64).tobytes()).digest()
+
     @classmethod
     def load(cls, path: str) -> PieceModel:
         data = open(path, "rb").read()
@@ -268,12 +274,12 @@ class PieceModel:
         return self._bytes
 
 
-_models: dict[str, PieceModel] = {}
+_models: dict[bytes, PieceModel] = {}
 
 
 def _local(model: PieceModel) -> PieceModel:
     """The worker's own copy, whose dictionary outlives tasks."""
-    return _models.setdefault(model.name, model)
+    return _models.setdefault(model.digest, model)
 
 
 def _appended(df: DataFrame, model: PieceModel, column: str, make, fields: list[str]) -> DataFrame:
@@ -281,25 +287,27 @@ def _appended(df: DataFrame, model: PieceModel, column: str, make, fields: list[
     names = [f.split("`")[1] for f in fields]
     keep = [c for c in df.columns if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary: about 2 MB
-    schema = ", ".join([f"`{n}` {t}" for n, t in df.select(*keep).dtypes] + fields)
+    inner = columns.inner(keep)
+    rows = df.select(*columns.carried(keep))
+    schema = ", ".join(columns.fields(rows) + fields)
     made_of = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     kinds = [made_of[f.split("` ")[1]] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _local(shared.value)
         for batch in batches:
-            rows, size, lo = [], 0, 0
-            for i, value in enumerate(batch.column(column)):
+            made, size, lo = [], 0, 0
+            for i, value in enumerate(batch.column(inner[keep.index(column)])):
                 row, cost = make(m, value)
-                rows.append(row)
+                made.append(row)
                 size += cost
                 if size >= BATCH_IDS or i + 1 == batch.num_rows:
-                    part = batch.slice(lo, len(rows))
-                    new = {n: pa.array([r[j] for r in rows], k) for j, (n, k) in enumerate(zip(names, kinds, strict=True))}
-                    yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | new)
-                    rows, size, lo = [], 0, i + 1
+                    part = batch.slice(lo, len(made))
+                    new = {n: pa.array([r[j] for r in made], k) for j, (n, k) in enumerate(zip(names, kinds, strict=True))}
+                    yield pa.RecordBatch.from_pydict({c: part.column(c) for c in inner} | new)
+                    made, size, lo = [], 0, i + 1
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def encode_column(df: DataFrame, model: PieceModel, text: str = "text", name: str = "ids") -> DataFrame:

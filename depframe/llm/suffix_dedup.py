@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depframe.llm.byte_hashing import PrefixHash, slices, text_bytes
+from depframe.llm.columns import carried, fields, inner
 from depframe.session import materialise, scratch_path
 
 LENGTH, ANCHOR, HOT = 100, 32, 16
@@ -349,7 +350,7 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     A window of ``length`` bytes repeats if an equal one starts earlier: in a row of smaller key, or in the same row at an
     earlier byte. All are judged on the input. Null texts count as empty; null keys come last. Rows of one key at one place are not earlier than one
     another. With ``whole_characters`` a character stays whole if any byte of it does. Documents are added in ``batches`` ranges of the key.
-    Columns of the new names are replaced; an empty table gives an empty table.
+    Columns of the new names are replaced and columns ``__text``, ``__spans`` and ``__doc`` left out; an empty table gives an empty table.
     """
     spark = df.sparkSession
     if not ANCHOR <= length - 8:
@@ -368,7 +369,7 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     spans = materialise(repeats, "suffix-repeats").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
     new = ("n_bytes", "n_removed", "n_spans", "kept", "__text", "__spans", "__doc")
     keep = [c for c in df.columns if c not in (*new, text)]
-    rows = df.select(*keep, F.col(text).cast("string").alias("__text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__doc"))
-    rows = rows.join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*keep, "__text", "__spans")
-    fields = [f"`{n}` {t}" for n, t in rows.select(*keep).dtypes] + ["n_bytes long", "n_removed long", "n_spans long", "kept binary"]
-    return rows.mapInArrow(_cut(length, whole_characters, keep), ", ".join(fields))
+    rows = df.select(*carried(keep), F.col(text).cast("string").alias("__text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__doc"))
+    rows = rows.join(spans.withColumnRenamed("doc", "__doc"), "__doc", "left").select(*inner(keep), "__text", "__spans")
+    schema = fields(rows.select(*inner(keep))) + ["n_bytes long", "n_removed long", "n_spans long", "kept binary"]
+    return rows.mapInArrow(_cut(length, whole_characters, inner(keep)), ", ".join(schema)).toDF(*keep, *new[:4])
