@@ -95,10 +95,16 @@ def depth_delta(line: Column) -> tuple[Column, Column]:
 
 
 def is_executable(line: Column) -> Column:
-    """For block cleaning: an assignment or a call that is no control head."""
-    norm = norm_line(line)
-    control = norm.rlike(r"^(IF|ELSIF|ELSE|CASE|FOR|WHILE|REPEAT|UNTIL|END_\w+|VAR\w*)\b")
-    return ~control & (norm.contains(":=") | norm.rlike(r"\w\s*\(.*\)\s*;?$"))
+    """For block cleaning: an assignment, a call, RETURN, EXIT or CONTINUE on a line that is no head or end of an IF, no declaration and no comment.
+
+    Heads of loops count where they assign or call.
+    """
+    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    note = (text == "") | text.startswith("//") | (text.startswith("(*") & text.endswith("*)"))
+    bare = F.upper(F.regexp_replace(text, r";+$", "")).isin("ELSE", "END_IF", "END_PROGRAM", "END_CASE", "END_FOR", "END_WHILE", "VAR", "VAR_INPUT", "VAR_OUTPUT", "VAR_IN_OUT", "END_VAR", "IF", "ELSIF", "THEN")
+    declared = text.contains(":") & ~text.contains(":=") & text.endswith(";")
+    control = line.rlike(r"(?i)^\s*(IF|ELSIF)\b.*\bTHEN\b\s*$") | line.rlike(r"(?i)^\s*ELSE\b\s*$") | line.rlike(r"(?i)^\s*END_IF\b\s*;?\s*$")
+    return ~note & ~bare & ~declared & ~control & text.rlike(r"(?i):=|\b(RETURN|EXIT|CONTINUE)\b|\w+\s*\(")
 
 
 def is_covered_kind(line: Column) -> Column:
