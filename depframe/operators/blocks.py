@@ -67,7 +67,11 @@ def if_branches(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def same_level_else(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, else_ln, end): the first ELSE of every ended IF that has one."""
-    return if_branches(lines, keys).where("is_else").groupBy(*keys, "start", "end").agg(F.min("head").alias("else_ln"))
+    return _elses(if_branches(lines, keys), keys)
+
+
+def _elses(branches: DataFrame, keys: list[str]) -> DataFrame:
+    return branches.where("is_else").groupBy(*keys, "start", "end").agg(F.min("head").alias("else_ln"))
 
 
 def patched_ifs(hits: DataFrame, branches: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,14 +166,14 @@ def with_single_blanks(block: DataFrame, keys: list[str]) -> DataFrame:
     return block.withColumn("__twice", blank & before).where("not __twice").drop("__twice")
 
 
-def folded_half_ifs(block: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+def folded_half_ifs(block: DataFrame, lines: DataFrame, keys: list[str], heads: DataFrame | None = None) -> DataFrame:
     """(keys, ln, raw): IFs with ELSE of which the source fills one side only lose their ELSE; an empty THEN also turns the condition round.
 
-    The side that is filled must have lines in the block. A header of several lines becomes one where it is turned round.
+    ``heads`` are the branches of the source, where they are at hand. The side that is filled must have lines in the block. A header of several lines becomes one where it is turned round.
     """
-    heads = if_branches(lines, keys)
+    heads = if_branches(lines, keys) if heads is None else heads
     first = heads.where("head = start").select(*keys, "start", "body_start")
-    ifs = first.join(same_level_else(lines, keys), [*keys, "start"]).join(block.select(*keys, F.col("ln").alias("start")), [*keys, "start"], "left_semi")
+    ifs = first.join(_elses(heads, keys), [*keys, "start"]).join(block.select(*keys, F.col("ln").alias("start")), [*keys, "start"], "left_semi")
     source = lines.where(T.is_substantive(F.col("raw")))
     then, other = (F.col("body_start"), F.col("else_ln") - 1), (F.col("else_ln") + 1, F.col("end") - 1)
     for name, points, (low, high) in (("then_src", source, then), ("else_src", source, other), ("then_blk", block, then), ("else_blk", block, other)):

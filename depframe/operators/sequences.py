@@ -83,6 +83,14 @@ def stride_sample(values: Column, k: int) -> Column:
     return F.slice(F.filter(values, lambda x, i: i % step == 0), 1, k)
 
 
+def stride_rows(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """At most ``k`` rows of each key, evenly: every max(1, n div k)-th in order from the first. Ranks stand in for arrays, so no key is collected."""
+    by = Window.partitionBy(*keys)
+    rows = df.withColumns({"__i": F.row_number().over(by.orderBy(*order)) - 1, "__n": F.count("*").over(by)})
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / k))
+    return rows.where((F.col("__i") % step == 0) & (F.col("__i") < step * k)).drop("__i", "__n")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first in order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depframe.frontend import functional as A
+from depframe.frontend import statements as P
 from depframe.functions import text as T
 from depframe.operators import blocks as B
+from depframe.operators import policy as Y
+from depframe.operators import sequences as S
 from depframe.operators import skeletons as K
 from depframe.operators import slices as L
 from depframe.plans.graphs import _EDGES, _supply_edges
-from depframe.session import table
+from depframe.session import materialise, table
 
 USER = ["user_id"]
 #: Lines of code that an event stands for, in SQL that both engines read; a bar ends a line.
@@ -48,7 +54,7 @@ def case_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = code_lines(spark, sf_dir)
-    return K.patched_cases(_hits(code), code, K.case_branches(code, USER), USER)
+    return K.patched_cases(_hits(code), B.construct_spans(code, USER, "CASE"), K.case_branches(code, USER), USER)
 
 
 def if_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +107,70 @@ def region_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.region_sizes(orders, ["c_nationkey", "c_custkey"], ["c_nationkey"])
 
 
+#: Settings by type and an event's own, each of which overrides something of the one before.
+_FILE = """CASE event_type WHEN 'click' THEN '{"slice": {"use_data": false, "depth": {"most": 5}}, "post": {"patch_if": true}}' WHEN 'error' THEN '{"slice": "off", "tag": {"a": 1}}'
+    WHEN 'view' THEN '{"slice": {"depth": 3}}' END"""
+_OWN = """CASE event_id % 4 WHEN 0 THEN '{"slice": {"depth": {"least": 1}}}' WHEN 1 THEN '{"tag": {"b": 2}, "slice": {"use_data": true}}' WHEN 2 THEN '{"post": 7}' END"""
+_BASE = """'{"slice": {"use_data": true, "use_control": true, "depth": {"most": 9, "least": 0}}, "post": {"patch_if": false}}'"""
+
+
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open settings of three layers; some leaves of what they make."""
+    events = table(spark, sf_dir, "events")
+    layers = [events.select("event_id", F.lit(i).alias("layer"), F.expr(text).alias("settings")) for i, text in enumerate((_BASE, _FILE, _OWN))]
+    merged = Y.merged_documents(layers[0].union(layers[1]).union(layers[2]), ["event_id"])
+    leaf = lambda path, name: F.try_variant_get("settings", path, "string").alias(name)
+    return merged.select("event_id", leaf("$.slice.use_data", "use_data"), leaf("$.slice.depth.most", "most"), leaf("$.slice.depth.least", "least"), leaf("$.post.patch_if", "patch_if"), leaf("$.tag.a", "a"), leaf("$.tag.b", "b"))
+
+
+_HEAD = "PROGRAM p|VAR_INPUT level : REAL; limit : REAL; END_VAR|VAR_OUTPUT valve : BOOL; posX : REAL; errCode : INT; END_VAR|VAR stage : INT; x : INT; y : INT; sum : REAL; END_VAR"
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(program_id, ln, raw): each user's events as a program, its statements on lines of their own."""
+    code = code_lines(spark, sf_dir).select(F.col("user_id").alias("program_id"), "ln", "raw")
+    heads = code.select("program_id").distinct().select("program_id", F.posexplode(F.split(F.lit(_HEAD), r"\|")).alias("ln", "raw")).withColumn("ln", F.col("ln") - 10)
+    source = S.rendered(code.union(heads.select("program_id", F.col("ln").cast("long"), "raw")), ["program_id"], ["ln"], F.col("raw"), "source")
+    return P.statement_lines(source)
+
+
+_WORDS = ("IF", "CASE", "FOR", "WHILE", "REPEAT")
+
+
+def _all_spans(code: DataFrame) -> DataFrame:
+    return reduce(DataFrame.union, (B.construct_spans(code, USER, word).select("user_id", F.col("start").cast("long"), F.col("end").cast("long")) for word in _WORDS))
+
+
+def parent_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every line the control statement around it, and the last line of what begins there."""
+    code = code_lines(spark, sf_dir)
+    return K.nested_parents(code.select("user_id", "ln"), _all_spans(code), USER, "ln")
+
+
+def statement_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers within each control statement and all that it holds."""
+    code = code_lines(spark, sf_dir)
+    names = code.select("user_id", "ln", F.explode(T.identifiers(F.regexp_replace(F.col("raw"), "//.*", ""))).alias("name"))
+    held = _all_spans(code).withColumn("head", F.col("start"))
+    found = K.names_within(names, held, ["user_id", "head"], "start", "end")
+    return found.groupBy("user_id", "head").agg(F.count("*").alias("n_names"), F.min("name").alias("least"))
+
+
+def functional_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all functional blocks of all programs."""
+    return A.functional_blocks(programs(spark, sf_dir))[0].select("program_id", "block", "ln", F.col("raw").alias("text"))
+
+
+def completed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = materialise(programs(spark, sf_dir), "programs")
+    block, nodes, rows = A.functional_blocks(lines)
+    done = A.completed_blocks(block, nodes, rows, P.symbols(lines))
+    return done.select("program_id", "block", "code", F.size("line_numbers").cast("long").alias("n_lines"), F.array_join("vars_used", ",").alias("vars_used"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (statement_ends, case_branches, case_patch, if_skeleton, stage_segments, size_segments, segment_nodes, meaningful_code, policy_slices, edge_counts, region_sizes)
+    for f in (policy_documents, parent_map, statement_names, functional_blocks, completed_blocks, statement_ends, case_branches, case_patch, if_skeleton, stage_segments, size_segments, segment_nodes, meaningful_code, policy_slices, edge_counts, region_sizes)
 }
 
 _LINES = """c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id, pos) AS ln, raw FROM (
@@ -135,7 +202,20 @@ _STAGES = f"""{_CODE}, g AS (SELECT *, sum(CASE WHEN {_MARKER} THEN 1 ELSE 0 END
 _ACTS = r"""(t <> '' AND NOT starts_with(t, '//') AND NOT (starts_with(t, '(*') AND ends_with(t, '*)')) AND upper(rtrim(t, ';')) NOT IN ('ELSE', 'END_IF', 'END_CASE', 'END_FOR', 'END_WHILE')
     AND NOT (contains(t, ':') AND NOT contains(t, ':=') AND ends_with(t, ';')) AND NOT regexp_matches(t, '^(IF|ELSIF)\b.*\bTHEN$') AND regexp_matches(t, ':=|\w+\s*\('))"""
 
+def _all(words: tuple[str, ...]) -> str:
+    flags = ", ".join(f"starts_with(trim(raw), '{w}') AS h{i}, starts_with(trim(raw), 'END_{w}') AS e{i}" for i, w in enumerate(words))
+    sums = ", ".join(f"(count(*) FILTER ({x}{i}) OVER (PARTITION BY user_id ORDER BY ln))::BIGINT AS {x}{i}s" for i in range(len(words)) for x in "he")
+    return f"f AS (SELECT user_id, ln, raw, {flags} FROM c), d AS (SELECT *, {sums} FROM f), sp AS (" + " UNION ALL ".join(_spans(f"h{i}", f"e{i}") for i in range(len(words))) + ")"
+
+
+_LEAVES = ", ".join(f"json_extract_string(m, '$.{p}') AS {n}" for p, n in (("slice.use_data", "use_data"), ("slice.depth.most", "most"), ("slice.depth.least", "least"), ("post.patch_if", "patch_if"), ("tag.a", "a"), ("tag.b", "b")))
+
 ORACLES = {
+    "policy_documents": f"""SELECT event_id, {_LEAVES} FROM (SELECT event_id, json_merge_patch(json_merge_patch({_BASE}::JSON, coalesce({_FILE}, '{{}}')::JSON), coalesce({_OWN}, '{{}}')::JSON) AS m FROM events)""",
+    "parent_map": f"""WITH {_CODE}, {_all(_WORDS)} SELECT c.user_id, c.ln, max(p.start_ln) AS parent, coalesce(max(o.end_ln), c.ln) AS upto FROM c LEFT JOIN sp p ON p.user_id = c.user_id AND p.start_ln < c.ln AND c.ln < p.end_ln
+        LEFT JOIN sp o ON o.user_id = c.user_id AND o.start_ln = c.ln GROUP BY c.user_id, c.ln""",
+    "statement_names": f"""WITH {_CODE}, {_all(_WORDS)}, n AS (SELECT user_id, ln, unnest(regexp_extract_all(regexp_replace(raw, '//.*', ''), '[A-Za-z0-9_]+')) AS name FROM c)
+        SELECT sp.user_id, start_ln AS head, count(DISTINCT name) AS n_names, min(name) AS least FROM sp JOIN n ON n.user_id = sp.user_id AND n.ln BETWEEN start_ln AND end_ln WHERE regexp_matches(name, '^[A-Za-z_]') GROUP BY ALL""",
     "statement_ends": f"""WITH {_LINES.format(part=_LOOSE)}, x AS (SELECT user_id, ln, regexp_replace(regexp_replace(raw, '//.*', ''), '\\(\\*.*?\\*\\)', '', 'g') AS t FROM c),
         b AS (SELECT user_id, ln, contains(t, ';') AS semi, length(t) - length(replace(t, '(', '')) - length(t) + length(replace(t, ')', '')) AS delta FROM x),
         r AS (SELECT *, sum(delta) OVER (PARTITION BY user_id ORDER BY ln)::BIGINT AS after FROM b)
