@@ -1,4 +1,4 @@
-"""Queries over Structured Text programs of our own."""
+"""Queries over programs: slices of their outputs and descriptions. Two small programs of our own serve the tests."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from depframe.frontend import describe as D
 from depframe.frontend import statements as P
+from depframe.plans.shapes import program_sources, programs
+from depframe.session import materialise
 
 TANK = """PROGRAM Tank
 VAR_INPUT level : REAL; limit, reserve : REAL; END_VAR
@@ -47,21 +49,22 @@ def sample_programs(spark: SparkSession) -> DataFrame:
 
 
 def st_slice_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The code of the backward slice of every output."""
-    lines = P.statement_lines(sample_programs(spark))
-    rows = P.statements(lines)
+    """The code of the backward slice of every output of the programs that users' events make."""
+    lines = materialise(programs(spark, sf_dir), "programs")
+    rows = materialise(P.statements(lines), "statements")
     return P.slice_code(rows, P.slices(rows, P.symbols(lines)))
 
 
 def st_describe_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.statements(P.statement_lines(sample_programs(spark)))
+    rows = P.statements(programs(spark, sf_dir))
     return rows.where(F.col("kind") != "end").select("program_id", F.col("ln").cast("long").alias("ln"), P.sentence(rows).alias("sentence"))
 
 
 def st_describe_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample programs at all three levels, with a documented block."""
+    """The programs at all three levels, with a documented block."""
     docs = spark.createDataFrame([("timer", "Delays a rising edge")], "callee string, summary string")
-    told = [D.described(sample_programs(spark), level, docs).withColumn("level", F.lit(level)) for level in D.LEVELS]
+    sources = materialise(program_sources(spark, sf_dir), "programs")
+    told = [D.described(sources, level, docs).withColumn("level", F.lit(level)) for level in D.LEVELS]
     return told[0].unionByName(told[1]).unionByName(told[2])
 
 

@@ -126,12 +126,16 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEAD = "PROGRAM p|VAR_INPUT level : REAL; limit : REAL; END_VAR|VAR_OUTPUT valve : BOOL; posX : REAL; errCode : INT; END_VAR|VAR stage : INT; x : INT; y : INT; sum : REAL; END_VAR"
 
 
-def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(program_id, ln, raw): each user's events as a program, its statements on lines of their own."""
+def program_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(program_id, source): each user's events as a program with declarations."""
     code = code_lines(spark, sf_dir).select(F.col("user_id").alias("program_id"), "ln", "raw")
     heads = code.select("program_id").distinct().select("program_id", F.posexplode(F.split(F.lit(_HEAD), r"\|")).alias("ln", "raw")).withColumn("ln", F.col("ln") - 10)
-    source = S.rendered(code.union(heads.select("program_id", F.col("ln").cast("long"), "raw")), ["program_id"], ["ln"], F.col("raw"), "source")
-    return P.statement_lines(source)
+    return S.rendered(code.union(heads.select("program_id", F.col("ln").cast("long"), "raw")), ["program_id"], ["ln"], F.col("raw"), "source")
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(program_id, ln, raw): the same with statements on lines of their own."""
+    return P.statement_lines(program_sources(spark, sf_dir))
 
 
 _WORDS = ("IF", "CASE", "FOR", "WHILE", "REPEAT")

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from depframe.session import prepare
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -9,4 +11,5 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    prepare(session)
     yield session

@@ -7,7 +7,9 @@ from depframe.sources.programs import read_policy, read_programs, write_blocks
 
 
 def test_slices_of_own_programs(spark):
-    got = {(r["program_id"], r["crit"]): r["code"].split("\n") for r in Q.st_slice_demo(spark, "").collect()}
+    lines = P.statement_lines(Q.sample_programs(spark))
+    rows = P.statements(lines)
+    got = {(r["program_id"], r["crit"]): r["code"].split("\n") for r in P.slice_code(rows, P.slices(rows, P.symbols(lines))).collect()}
     assert got["tank", "count"] == ["count := count + 1;"]
     assert got["tank", "alarm"] == ["sum := 0;", "FOR i := 1 TO 10 DO", "sum := sum + level;", "END_FOR;", "IF sum > limit THEN", "ELSE", "alarm := TRUE;", "END_IF;"]
     assert got["tank", "valve"][4:] == ["IF sum > limit THEN", "valve := FALSE;", "ELSIF sum > reserve THEN", "valve := TRUE;", "END_IF;"]
