@@ -150,7 +150,7 @@ def if_balance(block: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def without_true_wrappers(block: DataFrame, keys: list[str]) -> DataFrame:
-    """The block's lines without ``IF TRUE THEN`` and the END_IF of each, then without what that leaves orphaned."""
+    """The block's lines without ``IF TRUE THEN`` and the END_IF of each, then without what that leaves orphaned: an ELSE of such a wrapper goes too, in the same step."""
     rows = without_orphans(block, keys)
     head, end, _ = _if_marks(F.col("raw"))
     spans = S.matching_end(rows.withColumns({"__head": head.cast("int"), "__end": end.cast("int")}), keys, "ln", "__head", "__end")

@@ -5,6 +5,7 @@ import pytest
 from depframe.frontend import functional as A
 from depframe.frontend import statements as P
 from depframe.operators import blocks as B
+from depframe.operators import slices as L
 from depframe.plans.code import USER, _code
 
 TANK = """PROGRAM Tank
@@ -77,6 +78,16 @@ def test_completed_text(found):
     assert done[name]["vars_used"] == ["level", "sum", "valve"] and len(done[name]["line_numbers"]) == 6
 
 
+def test_edges_of_a_program(spark):
+    rows = P.statements(P.statement_lines(spark.createDataFrame([("p", "PROGRAM p\nx := 1;\nWHILE x < 9 DO\nx := x + 1;\nEND_WHILE;\nEND_PROGRAM")], "program_id string, source string")))
+    every, cut = P.dependences(rows), P.dependences(rows, self_edges=False)
+    pairs = lambda df: {(r["src"], r["dst"], r["etype"]) for r in df.collect()}
+    assert pairs(every) - pairs(cut) == {(4, 4, "data")} and (3, 4, "control") in pairs(cut)
+    assert {r["etype"]: r["n"] for r in L.edge_counts(cut, ["program_id"]).collect()} == {"data": 3, "control": 1}
+    nodes = spark.createDataFrame([("p", 4)], "program_id string, node long")
+    assert {(r["pred"], r["etype"], r["var"]) for r in L.predecessors(cut, nodes, ["program_id"], include_var=True).collect()} == {(2, "data", "x"), (3, "control", None)}
+
+
 @pytest.mark.parametrize("setting", ["true", "false"])
 def test_loops_patched_alike_whatever_unions_tell(spark, setting):
     """The plan that once lost rows gives the same ones either way."""
