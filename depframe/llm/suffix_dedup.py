@@ -14,7 +14,9 @@ and leaves larger levels alone.
 
 Hot passages: copies within a slice of text are reduced to the earliest at once. An anchor that meets ``HOT``
 different stretches in a slice, as in a line that very many documents share, has its windows compared one by one, dealt by their own
-hashes; only a mark goes to its sorted group. So a group holds few rows for each slice, however common its passage.
+hashes; only a mark goes to its sorted group. So a group holds few rows for each slice, however common its passage. A sorted group that still
+grows past ``HELD`` rows is scanned in parts, of which each hands its last beginning on to the next; with over ``CROWD`` different stretches it counts as hot.
+No task therefore holds a whole group.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depframe.llm.byte_hashing import PrefixHash, slices, text_bytes
-from depframe.llm.columns import carried, fields, inner
-from depframe.session import materialise, scratch_path
+from depframe.llm.columns import carried, fields, inner, rows_at_a_time
+from depframe.session import materialise, scratch_path, shuffle_files_cleaned
 
 LENGTH, ANCHOR, HOT = 100, 32, 16
-#: Window starts that are worked on at a time within one text.
-BLOCK = 4 << 20
+#: Window starts worked on at a time within one text, rows of one anchor scanned at a time, stretches of one anchor compared in a group, windows compared at
+#: a time, and texts that a Python worker gets at a time; they bound memory and change no result.
+BLOCK, HELD, CROWD, COMPARED, TEXT_ROWS = 1 << 20, 1 << 16, 1024, 1 << 18, 1000
 ENTRY, REPEAT, MARK, WINDOW, CONTEST, HOT_CONTEST, STRETCH = range(7)
 ROWS = "kind int, a long, s long, doc long, at long, n int"
 _FIELDS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])
@@ -56,10 +59,10 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> Iterator[tuple]:
+def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int, block: int) -> Iterator[tuple]:
     """For blocks of texts: (hashers, first byte of each stretch in the block, its windows, anchor hash, text number, place in the text)."""
-    for lo in range(0, max(1, len(data)), BLOCK):
-        part = data[lo : lo + BLOCK + length - 1]
+    for lo in range(0, max(1, len(data)), block):
+        part = data[lo : lo + block + length - 1]
         if len(part) < length:
             return
         h, g = PrefixHash(part, 0), PrefixHash(part, 1)
@@ -107,7 +110,7 @@ def _suffixes(length: int, anchor: int):
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             for lo, hi in slices(offsets):
                 own = offsets[lo : hi + 1] - offsets[lo]
-                for h, g, first, count, a, text, at in _stretches(data[offsets[lo] : offsets[hi]], own, length, anchor):
+                for h, g, first, count, a, text, at in _stretches(data[offsets[lo] : offsets[hi]], own, length, anchor, BLOCK):
                     doc = ids[lo + text]
                     s = g(first, first + count + length - 1)
                     keep, later = _split_earliest(a, s, doc, at)
@@ -129,10 +132,21 @@ def _suffixes(length: int, anchor: int):
     return run
 
 
+def _last_beginning(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The earliest row of the last (s, kind) among rows of one anchor; windows and single repeats have been passed on and count for nothing here."""
+    own = np.flatnonzero((t["kind"] != REPEAT) & (t["kind"] != WINDOW))
+    if not len(own):
+        return {c: x[:0] for c, x in t.items()}
+    s, kind = t["s"][own], t["kind"][own]
+    other = np.flatnonzero((s != s[-1]) | (kind != kind[-1]))
+    first = own[other[-1] + 1 if len(other) else 0]
+    return {c: x[first : first + 1] for c, x in t.items()}
+
+
 def _merge_scan(keep_level: bool):
     """Over rows in the order of (a, s, doc, at): new level entries, repeats and contested stretches. ``fresh``: of the batch; ``merging``: to be written."""
 
-    def scan(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def scan(t: dict[str, np.ndarray], part: bool = False) -> Iterator[pa.RecordBatch]:
         passed = (t["kind"] == REPEAT) | (t["kind"] == WINDOW)
         yield _rows(*(t[c][passed] for c in _FIELDS.names))
         a, s, doc, at, n, fresh, merging, kind = (t[c][~passed] for c in ("a", "s", "doc", "at", "n", "fresh", "merging", "kind"))
@@ -147,7 +161,7 @@ def _merge_scan(keep_level: bool):
         repeat = entry & fresh & ~new & ((doc != doc[head]) | (at != at[head]))
         yield _rows(REPEAT, a[repeat], s[repeat], doc[repeat], at[repeat], n[repeat])
         fought = entry & new & contested[group]
-        marked = np.bincount(group, kind == MARK) > 0
+        marked = (np.bincount(group, kind == MARK) > 0) | (np.bincount(group, new) > CROWD) | part
         yield _rows(np.where(marked[group[fought]], HOT_CONTEST, CONTEST), a[fought], s[fought], doc[fought], at[fought], n[fought])
         if keep_level:
             stay = new & merging
@@ -164,6 +178,10 @@ def _merge_scan(keep_level: bool):
             held = {c: t[c][cut:] for c in names}
             if cut:
                 yield from scan({c: t[c][:cut] for c in names})
+            if len(held["a"]) > HELD:
+                # What comes next repeats the last beginning or contests it: its earliest place goes on, and where it is found twice that adds nothing.
+                yield from scan(held, part=True)
+                held = _last_beginning(held)
         if held is not None and len(held["a"]):
             yield from scan(held)
 
@@ -192,7 +210,8 @@ class SuffixLevels:
                 batch = batch.unionByName(self.read(p).withColumns({"fresh": F.lit(False), "merging": F.lit(flag)}))
         ordered = batch.repartition("a").sortWithinPartitions("a", "s", "kind", "doc", "at")
         out = scratch_path(self.spark, "suffix-level")
-        ordered.mapInArrow(_merge_scan(not last), ROWS).write.parquet(out)
+        with shuffle_files_cleaned(self.spark), rows_at_a_time(self.spark, TEXT_ROWS):
+            ordered.mapInArrow(_merge_scan(not last), ROWS).write.parquet(out)
         found = self.spark.read.schema(ROWS).parquet(out).where(F.col("kind").isin(REPEAT, WINDOW, CONTEST, HOT_CONTEST))
         if last:
             return found
@@ -275,6 +294,18 @@ def _compare(length: int):
         some = later[begin]
         return _rows(REPEAT, x[some], y[some], wdoc[some], wat[some], runs)
 
+    def pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole anchors, of about ``COMPARED`` windows together, one anchor at least."""
+        a, upto = t["a"].to_numpy(), np.cumsum(t["n"].to_numpy().astype(np.int64))
+        ends = np.r_[np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)]
+        lo = 0
+        while lo < len(a):
+            room = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + COMPARED, side="right"))
+            fit = ends[(ends > lo) & (ends <= room)]
+            hi = int(fit[-1] if len(fit) else ends[np.searchsorted(ends, lo, side="right")])
+            yield compared(t.slice(lo, hi - lo))
+            lo = hi
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
@@ -283,10 +314,10 @@ def _compare(length: int):
             a = held["a"].to_numpy()
             cut = int(np.searchsorted(a, a[-1])) if len(a) else 0  # the last anchor may go on
             if cut:
-                yield compared(held.slice(0, cut))
+                yield from pieces(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield compared(held)
+            yield from pieces(held)
 
     return run
 
@@ -298,7 +329,8 @@ def repeated_windows(docs: DataFrame, found: DataFrame, length: int) -> DataFram
     places = places.join(hot, "a", "left").select("doc", "at", F.col("n").cast("long").alias("n"), "a", F.coalesce("hot", F.lit(False)).alias("hot"))
     spans = places.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "a", "hot")).alias("spans"))
     settled = docs.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_contested_stretches(length), STRETCHES)
-    settled = materialise(settled, "suffix-contested")
+    with rows_at_a_time(docs.sparkSession, TEXT_ROWS):
+        settled = materialise(settled, "suffix-contested")
     calm = settled.where(F.col("kind") == STRETCH).select("a", "doc", "at", "n", "bytes")
     fought = calm.repartition("a").sortWithinPartitions("a", "doc", "at").mapInArrow(_compare(length), ROWS)
     both = settled.select(*found.columns).unionByName(found)
@@ -311,7 +343,7 @@ def repeated_windows(docs: DataFrame, found: DataFrame, length: int) -> DataFram
 
 def _cut(length: int, whole_characters: bool, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, TEXT_ROWS) for b in batches for lo in range(0, b.num_rows, TEXT_ROWS)):
             data, offsets = text_bytes(batch.column("__text"))
             spans = batch.column("__spans")
             flat, bounds = spans.flatten(), spans.offsets.to_numpy()
@@ -366,7 +398,9 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length:
         found = new if found is None else found.unionByName(new)
     family.drop()
     repeats = repeated_windows(docs, found, length)
-    spans = materialise(repeats, "suffix-repeats").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
+    with rows_at_a_time(spark, TEXT_ROWS):
+        repeats = materialise(repeats, "suffix-repeats")
+    spans = repeats.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
     new = ("n_bytes", "n_removed", "n_spans", "kept", "__text", "__spans", "__doc")
     keep = [c for c in df.columns if c not in (*new, text)]
     rows = df.select(*carried(keep), F.col(text).cast("string").alias("__text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__doc"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from depframe.llm import suffix_dedup as sd
+from depframe.llm.columns import rows_at_a_time
 
 
 def brute(rows, length):
@@ -77,3 +78,19 @@ def test_long_text_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.suffix_dedup(df, batches=2).collect()}
     assert got == brute(rows, 100)
+
+
+@pytest.mark.parametrize(("held", "crowd", "compared"), [(3, 2, 40), (20, 1000, 1), (1 << 16, 4, 500)])
+def test_groups_in_parts(spark, monkeypatch, held, crowd, compared):
+    """An anchor that very many texts share, with equal and with different surroundings, in groups cut small."""
+    monkeypatch.setattr(sd, "HELD", held)
+    monkeypatch.setattr(sd, "CROWD", crowd)
+    monkeypatch.setattr(sd, "COMPARED", compared)
+    monkeypatch.setattr(sd, "TEXT_ROWS", 4)
+    passage = "a passage of over one hundred bytes that stands in very many texts, the same each time, whatever is around it; so it is"
+    rows = [(i, f"{i * 7919 % 1000} before {passage} after {i * 104729 % 997}" if i % 3 else passage) for i in range(60)] + corpus(5)[:30]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    with rows_at_a_time(spark, 4):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.suffix_dedup(df, batches=3).collect()}
+    assert got == brute(rows, 100)
