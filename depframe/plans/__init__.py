@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depframe.plans import code, graphs, lines, programs, rows, shapes
+from depframe.plans import access, code, graphs, lines, programs, rows, shapes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = lines.QUERIES | code.QUERIES | shapes.QUERIES | rows.QUERIES | graphs.QUERIES | programs.QUERIES
-ORACLES: dict[str, str] = lines.ORACLES | code.ORACLES | shapes.ORACLES | rows.ORACLES | graphs.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = lines.QUERIES | code.QUERIES | shapes.QUERIES | rows.QUERIES | graphs.QUERIES | access.QUERIES | programs.QUERIES
+ORACLES: dict[str, str] = lines.ORACLES | code.ORACLES | shapes.ORACLES | rows.ORACLES | graphs.ORACLES | access.ORACLES
