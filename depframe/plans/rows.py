@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depframe.functions import text as T
 from depframe.operators import policy as P
 from depframe.operators import sequences as S
+from depframe.operators.reports import StageReport
 from depframe.session import table
 
 POLICY_FIELDS = ["use_data", "use_control", "device"]
@@ -88,6 +89,15 @@ def gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("user_id", F.col("segment").cast("long").alias("segment"), F.size("xs").cast("long").alias("n"), F.array_min("xs").alias("first_id"), F.array_max("xs").alias("last_id"))
 
 
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and cents of events in three stages: all, those of over 10, of these the first of each user and type; with what each stage lost."""
+    report, cents = StageReport(), F.sum(F.round(F.col("value") * 100))
+    every = report.written(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), "all", cents=cents)
+    large = report.written(every.where("value > 10"), "large", cents=cents)
+    report.written(S.first_wins(large, ["user_id", "event_type"], ["event_id"]), "first", cents=cents)
+    return report.table(spark).withColumn("step", F.col("step").cast("long"))
+
+
 _TAG_OPEN, _TAG_CLOSE = r"<(p|div|li|ul|table|section)\b", r"</(p|div|li|ul|table|section)>"
 
 
@@ -140,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_criteria, kind_counts, merge_seed_sets, sparse_pick, stride_fill, label_join_edges, fallthrough_edges, def_use_straightline, nearest_preceding,
-        marker_segments, gap_split, running_depth, match_end, interval_patch, meaningful_blocks, render_block, policy_merge,
+        marker_segments, gap_split, running_depth, match_end, interval_patch, meaningful_blocks, render_block, policy_merge, stage_report,
     )
 }
 
@@ -149,6 +159,12 @@ _TAGS = r"""
     t AS (SELECT page_id, ln, regexp_matches('<' || raw, '<(p|div|li|ul|table|section)\b')::INT AS heads, regexp_matches('<' || raw, '</(p|div|li|ul|table|section)>')::INT AS ends FROM p)"""
 
 ORACLES = {
+    "stage_report": """
+        WITH l AS (SELECT * FROM events WHERE value > 10), f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
+        t AS (SELECT 0 AS step, 'all' AS stage, count(*)::DOUBLE AS "rows", sum(round(value * 100)) AS cents FROM events
+              UNION ALL SELECT 1, 'large', count(*), sum(round(value * 100)) FROM l UNION ALL SELECT 2, 'first', count(*), sum(round(value * 100)) FROM f),
+        m AS (SELECT step, stage, 'rows' AS measure, "rows" AS value FROM t UNION ALL SELECT step, stage, 'cents', cents FROM t)
+        SELECT step::BIGINT AS step, stage, measure, value, value - lag(value) OVER (PARTITION BY measure ORDER BY step) AS change FROM m""",
     "keyword_criteria": """
         SELECT p_partkey, CASE WHEN contains(lower(p_name), 'an') THEN 'runtime_interrupt' WHEN contains(lower(p_name), 're') OR contains(lower(p_name), 'ed') THEN 'runtime_error'
                WHEN contains(lower(p_name), 'o') THEN 'runtime_done' ELSE 'none' END AS kind FROM part""",

@@ -6,6 +6,7 @@ from depframe.frontend import functional as A
 from depframe.frontend import statements as P
 from depframe.operators import blocks as B
 from depframe.operators import slices as L
+from depframe.operators.reports import StageReport
 from depframe.plans.code import USER, _code
 
 TANK = """PROGRAM Tank
@@ -44,7 +45,9 @@ END_PROGRAM"""
 def found(spark):
     programs = spark.createDataFrame([("tank", TANK), ("steps", STEPS), ("quiet", QUIET)], "program_id string, source string")
     lines = P.statement_lines(programs)
-    block, nodes, rows = A.functional_blocks(lines, least=3, most=50, least_stage=3)
+    report = StageReport()
+    block, nodes, rows = A.functional_blocks(lines, least=3, most=50, least_stage=3, report=report)
+    _stages_are_told(spark, report, block, nodes)
     done = A.completed_blocks(block, nodes, rows, P.symbols(lines)).collect()
     texts = {}
     for r in sorted(block.collect(), key=lambda r: r["ln"]):
@@ -52,6 +55,17 @@ def found(spark):
     return texts, {(r["program_id"], r["block"]): r for r in done}
 
 
+def _stages_are_told(spark, report, block, nodes):
+    told = {(r["stage"], r["measure"]): r["value"] for r in report.table(spark).collect()}
+    assert [s for _, s, _, _ in report.values()] == ["criteria", "slices", "clusters", "blocks", "stage-cut", "size-cut", "cleanup", "meaningful", "dedup"]
+    assert told["dedup", "rows"] == block.count() and told["clusters", "rows"] >= nodes.count() > 0
+    distinct = {(r["stage"], r["measure"]): r["value"] for r in report.distinct(spark, {"blocks": ["program_id", "block"], "lines": ["program_id", "ln"]}).collect()}
+    assert distinct["dedup", "lines"] == block.select("program_id", "ln").distinct().count() and ("criteria", "blocks") not in distinct
+    assert distinct["meaningful", "blocks"] <= distinct["cleanup", "blocks"] and distinct["dedup", "blocks"] <= distinct["meaningful", "blocks"]
+    kinds = report.top("criteria", "kind").collect()
+    assert sum(r["count"] for r in kinds) == told["criteria", "rows"] and [r["count"] for r in kinds] == sorted((r["count"] for r in kinds), reverse=True)
+
+
 def of(texts, program):
     return sorted("|".join(t) for (p, _), t in texts.items() if p == program)
 
