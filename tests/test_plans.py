@@ -10,7 +10,7 @@ from depframe import plans
 
 SF = "/root/testdata/sf0.001"
 #: Their many rounds take long on one machine; the driver compares them too.
-SLOW = {"var_sensitive_slice", "greedy_near_dedup"}
+SLOW = {"greedy_near_dedup"}
 
 
 def plain(v):
