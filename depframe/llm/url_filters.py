@@ -86,7 +86,10 @@ def in_list(df: DataFrame, key: Column, listed: DataFrame, listed_key: str = "ca
     bloom = F.broadcast(bloom) if blocks <= max_blocks else bloom.hint("merge")
     # The caller's columns travel as one struct, so none of them can clash with those worked on here.
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "listed")).alias("__row"), key.alias("__k"))
-    probed = rows.withColumn("block", _block(F.col("__k"), blocks)).join(bloom, "block", "left")
+    # Rows without a key are in no block; numbers of their own deal them out where the filter is split.
+    hashed = [F.col(f"__row.`{c}`") for c, kind in df.dtypes if c != "listed" and "map<" not in kind and "variant" not in kind]
+    own = -1 - F.pmod(F.xxhash64(*hashed), F.lit(1 << 20)) if hashed else F.lit(-1)
+    probed = rows.withColumn("block", F.when(F.col("__k").isNull(), own).otherwise(_block(F.col("__k"), blocks))).join(bloom, "block", "left")
     maybe = F.coalesce(F.col("__k").isNotNull() & (F.col("bits").bitwiseAND(_mask(F.col("__k"))) == _mask(F.col("__k"))), F.lit(False))
     probed = probed.select("__row", "__k", maybe.alias("__maybe"))
     passed = probed.where("__maybe").join(keys.withColumn("listed", F.lit(True)), F.col("__k") == F.col("__key"), "left")

@@ -47,6 +47,17 @@ def test_crowded_filter_stays_exact(spark):
     assert bloom_blocks(listed, blocks=16).count() <= 16
 
 
+def test_rows_without_a_key_are_dealt_out(spark):
+    """In the split form too, and whatever types the caller's columns have: maps cannot be hashed."""
+    rows = spark.range(2000).selectExpr("id", "if(id % 4 = 0, cast(id as string), null) k", "map('a', id) m", "struct(map(1, id) as x) s")
+    listed = spark.createDataFrame([("8",), ("12",)], "canonical string")
+    for columns in (["id", "k", "m", "s"], ["k", "m"]):
+        for max_blocks in (1 << 16, 4):
+            out = in_list(rows.select(*columns), F.col("k"), listed, max_blocks=max_blocks)
+            assert out.columns == [*columns, "listed"] and out.count() == 2000
+            assert sorted(r["k"] for r in out.where("listed").select("k").collect()) == ["12", "8"]
+
+
 def test_clashing_columns_come_back_as_they_were(spark):
     names = ("listed", "block", "bits", "__key", "__k", "__row", "row", "canonical")
     df = spark.createDataFrame([(1, "http://bad.host/p", *range(len(names)))], "page_id long, url string, " + ", ".join(f"`{n}` int" for n in names))
