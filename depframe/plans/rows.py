@@ -28,17 +28,21 @@ def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_seed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds of each (user, type), sorted, thinned to eight."""
-    groups = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_set("event_id")).alias("xs"))
-    seeds = F.array_join(S.stride_sample(F.col("xs"), 8).cast("array<string>"), ",")
-    return groups.select("user_id", F.concat("event_type", F.lit("_set")).alias("kind"), F.size("xs").cast("long").alias("merged_from"), seeds.alias("seeds"))
+    """Seeds of each (user, type), sorted, thinned to eight by their ranks: no more than these are ever gathered."""
+    keys = ["user_id", "event_type"]
+    seeds = table(spark, sf_dir, "events").select(*keys, "event_id").distinct()
+    sizes = seeds.groupBy(*keys).agg(F.count("*").alias("merged_from"))
+    thin = S.stride_rows(seeds, keys, ["event_id"], 8).groupBy(*keys).agg(F.sort_array(F.collect_list("event_id")).alias("xs"))
+    return thin.join(sizes, keys).select("user_id", F.concat("event_type", F.lit("_set")).alias("kind"), "merged_from", F.array_join(F.col("xs").cast("array<string>"), ",").alias("seeds"))
 
 
 def sparse_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and middle order of each part; the fifteen with most orders have budget, ties by part."""
-    parts = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_orderkey")).alias("xs"))
-    parts = parts.withColumn("n", F.size("xs").cast("long")).orderBy(F.desc("n"), "l_partkey").limit(15)
-    return parts.select("l_partkey", "n", F.get("xs", 0).alias("first_order"), F.when(F.col("n") >= 3, F.get("xs", (F.col("n") / 2).cast("int"))).alias("middle_order"))
+    """First and middle order of each part; the fifteen with most orders have budget, ties by part. Orders are ranked for these fifteen only."""
+    orders = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
+    sizes = orders.groupBy("l_partkey").agg(F.count("l_orderkey").alias("n"), F.min("l_orderkey").alias("first_order")).orderBy(F.desc("n"), "l_partkey").limit(15)
+    ranked = orders.where("l_orderkey is not null").join(F.broadcast(sizes.select("l_partkey", "n")), "l_partkey").withColumn("i", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey")) - 1)
+    middle = ranked.where("n >= 3 and i = cast(n / 2 as int)").select("l_partkey", F.col("l_orderkey").alias("middle_order"))
+    return sizes.join(middle, "l_partkey", "left").select("l_partkey", "n", "first_order", "middle_order")
 
 
 def stride_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
