@@ -133,7 +133,7 @@ def described(programs: DataFrame, level: str, docs: DataFrame | None = None, ma
         rows = rows.withColumn("summary", F.lit(None).cast("string"))
     rows = rows.withColumn("meaning", _meaning(call)).drop("summary")
     name = F.regexp_extract("raw", r"(?i)^\s*(?:PROGRAM|FUNCTION_BLOCK|FUNCTION)\s+(\w+)", 1)
-    frame = lines.groupBy(*KEYS).agg(F.coalesce(F.min_by(F.when(name != "", name), F.when(name != "", F.col("ln"))), F.first("program_id")).alias("pou"), F.max("ln").alias("last"))
+    frame = lines.groupBy(*KEYS).agg(F.coalesce(F.min_by(F.when(name != "", name), F.when(name != "", F.col("ln"))), F.first("program_id").cast("string")).alias("pou"), F.max("ln").alias("last"))
 
     header = F.when(kind.isin("assign", "call"), _plain(call)).otherwise(_header(kind))
     part = F.when(kind == "if", "THEN actions:").when(kind == "label", F.concat(_header(kind), F.lit(" actions:"))).when(kind.isin("for", "while", "repeat"), "LOOP actions:")

@@ -68,3 +68,10 @@ def test_coarse_and_empty(spark):
     assert told(spark, "COARSE")[1:3] == ["IF a THEN.", "END_IF."]
     assert told(spark, "COARSE", source="PROGRAM P\nEND_PROGRAM\n") == ["POU P.", "END_POU P."]
     assert told(spark, "COARSE", source="") == []
+
+
+def test_programs_may_be_numbered(spark):
+    """A program without a name is called by its number; one with a name beside it does not make that a number."""
+    programs = spark.createDataFrame([(7, "PROGRAM p\nx := 1;\nEND_PROGRAM\n"), (8, "x := 1;\n")], "program_id long, source string")
+    told = {(r["program_id"], r["text"]) for r in D.described(programs, "COARSE").collect()}
+    assert (7, "POU p.") in told and {p for p, t in told if t.startswith("POU")} == {7, 8}
