@@ -52,7 +52,7 @@ def st_slice_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of the backward slice of every output of the programs that users' events make."""
     lines = materialise(programs(spark, sf_dir), "programs")
     rows = materialise(P.statements(lines), "statements")
-    return P.slice_code(rows, P.slices(rows, P.symbols(lines)))
+    return P.slice_code(rows, materialise(P.slices(rows, P.symbols(lines)), "slices"))
 
 
 def st_describe_demo(spark: SparkSession, sf_dir: str) -> DataFrame:

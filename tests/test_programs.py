@@ -48,3 +48,14 @@ def test_line_functions(spark):
     assert all(r["want"] == r["got"] for r in got)
     lines = T.split_lines(spark.createDataFrame([(1, "a\r\nb\x0bc\n"), (2, ""), (3, None), (4, "\n\n")], "id int, t string"), "t", ["id"])
     assert [(r["id"], r["ln"], r["raw"]) for r in lines.orderBy("id", "ln").collect()] == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (4, 1, ""), (4, 2, "")]
+
+
+def test_control_of_long_branches(spark):
+    """A branch of over a hundred lines holds them all, at edges of stretches too; slices read what was written, not the whole plan again."""
+    body = "".join(f"x{i} := {i};\n" for i in range(110))
+    lines = P.statement_lines(spark.createDataFrame([("p", f"PROGRAM p\nVAR_OUTPUT x99 : INT; END_VAR\nIF a THEN\n{body}END_IF;\nEND_PROGRAM\n")], "program_id string, source string"))
+    rows = P.statements(lines)
+    head = rows.where("kind = 'if'").first()["ln"]
+    got = sorted(r["dst"] for r in P.dependences(rows).where("etype = 'control'").collect())
+    assert got == list(range(head + 1, head + 111))
+    assert P.slices(rows, P.symbols(lines))._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
