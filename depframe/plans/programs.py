@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depframe.frontend import describe as D
 from depframe.frontend import statements as P
-from depframe.plans.shapes import program_sources, programs
+from depframe.plans.shapes import distinct_programs, of_all_copies, program_sources, programs
 from depframe.session import materialise
 
 TANK = """PROGRAM Tank
@@ -50,9 +50,10 @@ def sample_programs(spark: SparkSession) -> DataFrame:
 
 def st_slice_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of the backward slice of every output of the programs that users' events make."""
-    lines = materialise(programs(spark, sf_dir), "programs")
+    lines, copies = distinct_programs(spark, sf_dir)
+    lines = materialise(lines, "programs")
     rows = materialise(P.statements(lines), "statements")
-    return P.slice_code(rows, materialise(P.slices(rows, P.symbols(lines)), "slices"))
+    return of_all_copies(P.slice_code(rows, materialise(P.slices(rows, P.symbols(lines)), "slices")), copies)
 
 
 def st_describe_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
